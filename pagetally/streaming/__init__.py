@@ -1,0 +1 @@
+"""Empty on purpose: all reports are batch queries over a bounded time range."""
