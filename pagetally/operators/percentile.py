@@ -24,8 +24,12 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, share: float, nam
     )
     # copies of a value collapse to one row; everything below the bracket collapses to one row
     counts = measured.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    near = counts.alias("c").join(bracket.alias("b"), same).filter("_v <= _hi")
+    if keys:
+        same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+        near = counts.alias("c").join(bracket.alias("b"), same)
+    else:
+        near = counts.alias("c").crossJoin(F.broadcast(bracket.alias("b")))
+    near = near.filter("_v <= _hi")
     near = near.select(
         *[F.col(f"c.{k}").alias(k) for k in keys],
         F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"), "_n", "_total",

@@ -10,6 +10,7 @@ from pagetally.functions import metrics
 from pagetally.functions.timeframe import iso_text
 from pagetally.operators.materialise import materialise
 from pagetally.operators.ordering import page_after, small, top
+from pagetally.operators.percentile import exact_quantile
 from pagetally.operators.popularity import estimate_views
 from pagetally.operators.scan import checkpoints, events
 from pagetally.params import ReportParams
@@ -73,10 +74,9 @@ def bounces(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> D
         metrics.to_int(F.sum(F.try_divide("pageviews", "pagespervisit"))).alias("visits"),
         F.avg("pagespervisit").alias("pagespervisit"),
     )
-    totals = views.agg(
-        F.sum("pageviews").alias("all_views"),
-        metrics.quantile(F.floor(F.col("micros") / 1_000_000), 0.5).alias("duration"),
-    )
+    totals = views.agg(F.sum("pageviews").alias("all_views"))
+    seconds = views.select(F.floor(F.col("micros") / 1_000_000).alias("seconds"))
+    median = exact_quantile(seconds, [], "seconds", 0.5, "duration")
     enters = views.groupBy("id").agg(F.max("entered").alias("entered"), F.max("clicked").alias("clicked"))
     stayed = F.count_if(F.col("entered") & ~F.coalesce("clicked", F.lit(False)))
     enters = enters.agg(F.try_divide(stayed, F.count_if("entered")).alias("bounce_rate"))
@@ -84,7 +84,7 @@ def bounces(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> D
     def positive(value):
         return F.when(value > 0, value)
 
-    row = visits.crossJoin(totals).crossJoin(enters)
+    row = visits.crossJoin(totals).crossJoin(median).crossJoin(enters)
     return row.select(
         F.greatest(F.coalesce("paged_views", F.lit(0)), F.coalesce("all_views", F.lit(0))).alias("pageviews"),
         positive(F.col("visits")).alias("visits"),
