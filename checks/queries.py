@@ -45,26 +45,27 @@ def tidied(function: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         df = function(spark, sf_dir)
-        return df.select([_plain(df, f) for f in df.schema.fields])
+        return df.selectExpr(*[_plain(field) for field in df.schema.fields])
 
     run.__name__ = function.__name__
     return run
 
 
-def _plain(df: DataFrame, field: T.StructField) -> Column:
-    column = F.col(f"`{field.name}`")
-    kind = field.dataType
+def _plain(field: T.StructField) -> str:
+    column, kind = f"`{field.name}`", field.dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        column = F.round(column.cast("double"), 6)
+        value = f"round(CAST({column} AS double), 6)"
     elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
-        column = column.cast("bigint")
+        value = f"CAST({column} AS bigint)"
     elif isinstance(kind, T.TimestampType):
-        column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        value = f"date_format({column}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
     elif isinstance(kind, T.DateType):
-        column = column.cast("string")
+        value = f"CAST({column} AS string)"
     elif isinstance(kind, (T.ArrayType, T.StructType)):
-        column = F.to_json(column, {"ignoreNullFields": "false"})
-    return column.alias(field.name)
+        value = f"to_json({column}, map('ignoreNullFields', 'false'))"
+    else:
+        return column
+    return f"{value} AS {column}"
 
 
 def events(spark: SparkSession, sf_dir: str, p: ReportParams = P) -> DataFrame:
@@ -407,10 +408,9 @@ def full_outer_periods(spark, sf_dir):
 @query
 def bucket_lookup(spark, sf_dir):
     days = materialise(score.url_days(events(spark, sf_dir)))
-    cuts = score.cut_points(days, ["lcp", "load"])
-    return days.crossJoin(F.broadcast(cuts)).select(
-        "url", "day", score.rank_up(F.col("lcp"), F.col("lcp_cuts")).alias("lcp_rank"),
-        score.rank_down(F.col("load"), F.col("load_cuts")).alias("load_rank"),
+    return days.withColumn("cuts", score.cut_points(days, ["lcp", "load"])).select(
+        "url", "day", score.rank_up(F.col("lcp"), F.col("cuts.lcp")).alias("lcp_rank"),
+        score.rank_down(F.col("load"), F.col("cuts.load")).alias("load_rank"),
     )
 
 

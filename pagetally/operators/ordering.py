@@ -47,16 +47,13 @@ def global_row_number(df: DataFrame, *order: Column | str, name: str = "rownum")
 def ntile(df: DataFrame, tiles: int, *order: Column | str, name: str = "tile") -> DataFrame:
     """Split all rows into ``tiles`` equal parts in order; the first parts take the odd rows."""
     numbered = global_row_number(df, *order, name="_row")
-    total = numbered.agg(F.count(F.lit(1)).alias("_total"))
+    total = numbered.agg(F.count(F.lit(1))).scalar()
+    numbered = numbered.withColumn("_total", total)
     size, odd = F.floor(F.col("_total") / tiles), F.col("_total") % tiles
     in_long = F.floor((F.col("_row") - 1) / (size + 1)) + 1
     in_short = F.try_divide(F.col("_row") - 1 - odd * (size + 1), size)
     number = F.when(F.col("_row") <= odd * (size + 1), in_long).otherwise(odd + F.floor(in_short) + 1)
-    return (
-        numbered.crossJoin(F.broadcast(total))
-        .withColumn(name, number.cast("bigint"))
-        .drop("_row", "_total")
-    )
+    return numbered.withColumn(name, number.cast("bigint")).drop("_row", "_total")
 
 
 def top(df: DataFrame, n: int, measure: str, *keys: str) -> DataFrame:
@@ -87,16 +84,12 @@ def page_after(
     if cursor is None:
         page, done = df, F.lit(0)
     else:
-        at = df.filter(F.col(id_column) == cursor).orderBy(*order).limit(1)
-        at = at.select(F.struct(*order).alias("_cursor"))
         here = F.struct(*order)
-        done_rows = df.crossJoin(F.broadcast(at)).agg(F.count_if(here <= F.col("_cursor")).alias("_done"))
-        page = df.crossJoin(F.broadcast(at)).filter(here > F.col("_cursor")).drop("_cursor")
-        page = page.crossJoin(F.broadcast(done_rows))
-        done = F.col("_done")
+        at = df.filter(F.col(id_column) == cursor).orderBy(*order).limit(1).select(here).scalar()
+        page = df.filter(here > at)
+        done = df.filter(here <= at).agg(F.count(F.lit(1))).scalar()
     page = page.orderBy(*order).limit(limit)
-    numbered = page.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + done).cast("bigint"))
-    return numbered.drop("_done")
+    return page.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + done).cast("bigint"))
 
 
 def fit_delivery(df: DataFrame, order: list[Column], max_bytes: float = fixed.DELIVERY_BYTES) -> tuple[DataFrame, bool]:

@@ -28,9 +28,9 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, share: float, nam
         same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
         near = counts.alias("c").join(bracket.alias("b"), same)
     else:
-        near = counts.alias("c").crossJoin(F.broadcast(bracket.alias("b")))
-    near = near.filter("_v <= _hi")
-    near = near.select(
+        whole = bracket.select(F.struct("*")).scalar()
+        near = counts.withColumn("_b", whole).select("_v", "_n", "_b.*")
+    near = near.filter("_v <= _hi").select(
         *[F.col(f"c.{k}").alias(k) for k in keys],
         F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"), "_n", "_total",
     )

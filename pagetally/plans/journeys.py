@@ -74,19 +74,21 @@ def bounces(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> D
         metrics.to_int(F.sum(F.try_divide("pageviews", "pagespervisit"))).alias("visits"),
         F.avg("pagespervisit").alias("pagespervisit"),
     )
-    totals = views.agg(F.sum("pageviews").alias("all_views"))
+    all_views = views.agg(F.coalesce(F.sum("pageviews"), F.lit(0))).scalar()
     seconds = views.select(F.floor(F.col("micros") / 1_000_000).alias("seconds"))
-    median = exact_quantile(seconds, [], "seconds", 0.5, "duration")
+    duration = exact_quantile(seconds, [], "seconds", 0.5, "duration").scalar()
     enters = views.groupBy("id").agg(F.max("entered").alias("entered"), F.max("clicked").alias("clicked"))
     stayed = F.count_if(F.col("entered") & ~F.coalesce("clicked", F.lit(False)))
-    enters = enters.agg(F.try_divide(stayed, F.count_if("entered")).alias("bounce_rate"))
+    rate = enters.agg(F.try_divide(stayed, F.count_if("entered"))).scalar()
 
     def positive(value):
         return F.when(value > 0, value)
 
-    row = visits.crossJoin(totals).crossJoin(median).crossJoin(enters)
+    row = visits.select(
+        "*", all_views.alias("all_views"), duration.alias("duration"), rate.alias("bounce_rate")
+    )
     return row.select(
-        F.greatest(F.coalesce("paged_views", F.lit(0)), F.coalesce("all_views", F.lit(0))).alias("pageviews"),
+        F.greatest(F.coalesce("paged_views", F.lit(0)), "all_views").alias("pageviews"),
         positive(F.col("visits")).alias("visits"),
         positive(F.col("pagespervisit")).alias("pagespervisit"),
         positive(F.col("bounce_rate")).alias("bounce_rate"),

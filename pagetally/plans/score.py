@@ -39,16 +39,16 @@ def url_days(ev: DataFrame) -> DataFrame:
     return days.withColumn("chain", F.count_if(F.col("step") == 1).over(order))
 
 
-def cut_points(table: DataFrame, metrics_: list[str]) -> DataFrame:
-    """One row with four cut points of the distinct values of each metric, in one pass over all metrics."""
+def cut_points(table: DataFrame, names: list[str]) -> Column:
+    """Four cut points of the distinct values of each metric, as one struct; one pass over all metrics."""
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics_
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names
     ]))
     values = table.select(pairs.alias("v")).select("v.*").filter(F.col("value").isNotNull()).distinct()
     cuts = values.groupBy("metric").agg(metrics.quantile(F.col("value"), CUTS).alias("cuts"))
-    return cuts.agg(*[
-        F.max(F.when(F.col("metric") == m, F.col("cuts"))).alias(f"{m}_cuts") for m in metrics_
-    ])
+    return cuts.agg(F.struct(*[
+        F.max(F.when(F.col("metric") == m, F.col("cuts"))).alias(m) for m in names
+    ])).scalar()
 
 
 def rank_up(value: Column, cuts: Column) -> Column:
@@ -74,18 +74,19 @@ def experience_score(raw: DataFrame, p: ReportParams, keys: DataFrame | None = N
         F.count_if(F.col("chain") == 1).alias("reach"), F.count_if(F.col("chain") == 7).alias("persistence"),
     )
     powered = hosts.filter((F.col("reach") > 0) & (F.col("persistence") > 0) & F.col("host").isNotNull())
-    cuts = cut_points(days, list(LOW_IS_GOOD + HIGH_IS_GOOD)).crossJoin(
-        cut_points(powered, ["reach", "persistence"])
-    )
+    day_cuts = cut_points(days, list(LOW_IS_GOOD + HIGH_IS_GOOD))
+    host_cuts = cut_points(powered, ["reach", "persistence"])
     scored = hosts.filter(
         F.col("host").isNotNull() & ~F.col("host").contains(fixed.UNSCORED_HOST_INFIX)
         & (F.col("host") != "localhost")
     )
     if p.url != "-":
         scored = scored.filter(F.col("host") == p.url)
-    up = {m: rank_up(F.col(m), F.col(f"{m}_cuts")) for m in ("cls", "lcp", "fid")}
-    down = {m: rank_down(F.col(m), F.col(f"{m}_cuts")) for m in ("load", "click", "reach", "persistence")}
-    ranks = scored.crossJoin(F.broadcast(cuts)).select(
+    scored = scored.withColumn("day", day_cuts).withColumn("power", host_cuts)
+    up = {m: rank_up(F.col(m), F.col(f"day.{m}")) for m in ("cls", "lcp", "fid")}
+    down = {m: rank_down(F.col(m), F.col(f"day.{m}")) for m in HIGH_IS_GOOD}
+    down |= {m: rank_down(F.col(m), F.col(f"power.{m}")) for m in ("reach", "persistence")}
+    ranks = scored.select(
         "host", *[c.alias(f"{m}_rank") for m, c in {**up, **down}.items()]
     )
     if p.url == "-":

@@ -165,15 +165,19 @@ def vitals_correlation(
     overall = rates.agg(
         metrics.correlation(lcp, rate).alias("correlation"),
         metrics.correlation(F.when(good, lcp), F.when(good, rate)).alias("good_correlation"),
-        F.max(rate).alias("max_rate"),
     )
-    best = rates.join(F.broadcast(overall), rate == F.col("max_rate")).select(lcp.alias("best_lcp"), "max_rate")
-    boost = rates.crossJoin(F.broadcast(best)).filter(lcp - F.col("best_lcp") < 1000)
-    boost = boost.orderBy(lcp.desc(), F.col("best_lcp")).limit(1).select(
-        F.try_divide(F.col("max_rate") - rate, rate).alias("click_rate_boost"),
-        (lcp - F.col("best_lcp")).alias("lcp_diff"),
-    )
-    scalars = overall.join(F.broadcast(boost), F.lit(True), "left")
-    return rates.crossJoin(F.broadcast(scalars)).orderBy("lcp_percentile").select(
-        "lcp_percentile", "lcp", "click_rate", "correlation", "good_correlation", "click_rate_boost", "lcp_diff"
+    # the slowest tile that is less than a second slower than a best one; of several best ones the fastest
+    # that is near enough
+    most = rates.agg(F.max(rate)).scalar()
+    best_lcps = rates.filter(rate == most).agg(F.sort_array(F.collect_list("lcp"))).scalar()
+    near = F.filter(F.col("best_lcps"), lambda best: F.col("lcp") - best < 1000)
+    boost = rates.withColumn("best_lcps", best_lcps).withColumn("best_lcp", F.get(near, 0))
+    boost = boost.filter(F.col("best_lcp").isNotNull()).orderBy(lcp.desc()).limit(1)
+    boost = boost.select(F.struct(
+        F.try_divide(most - rate, rate).alias("gain"), (lcp - F.col("best_lcp")).alias("diff")
+    )).scalar()
+    whole = overall.select(F.struct("*")).scalar()
+    return rates.withColumn("whole", whole).withColumn("boost", boost).orderBy("lcp_percentile").select(
+        "lcp_percentile", "lcp", "click_rate", "whole.correlation", "whole.good_correlation",
+        F.col("boost.gain").alias("click_rate_boost"), F.col("boost.diff").alias("lcp_diff"),
     )
