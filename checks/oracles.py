@@ -433,7 +433,7 @@ targets("targets_split", "checkpoint = 'click'", "string_split(target, '; ')")
 targets("targets_extract", "source = 'src1'", "regexp_extract_all(target, 't[0-9]')")
 add("not_found", f"""SELECT url, arg_max(source, row(views, source)) FILTER (WHERE source IS NOT NULL) AS top_source,
   CAST(to_json(list_sort(list(source) FILTER (WHERE source IS NOT NULL))) AS VARCHAR) AS all_sources, count(source) AS source_count,
-  {big('sum(views)')} AS views FROM
+  {big('sum(views)')} AS views, CAST(0 AS BIGINT) AS part FROM
   (SELECT url, source, count(DISTINCT id) * max(pageviews) AS views FROM cp WHERE checkpoint = '404' GROUP BY 1, 2)
   GROUP BY url""" + first_rows("views DESC, url"))
 add("checkpoint_urls", f"""SELECT count(id) AS ids, {big('count(DISTINCT id) * max(pageviews)')} AS views, {big('sum(pageviews)')} AS actions,

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetally.functions import filters, metrics
+from pagetally.functions.fixed_values import VITAL_LIMITS
 from pagetally.functions.timeframe import TimeRange, as_instant, time_range
 from pagetally.operators.access import url_host
 from pagetally.operators.materialise import materialise
@@ -20,9 +21,23 @@ COLUMNS = (
 )
 
 
-def _whole(measure: str, value: Column) -> Column:
+# The measures are built as SQL text: there are some ninety expressions of four kinds.
+
+
+def _whole(measure: str, value: str) -> str:
     """Measures are whole numbers, layout shift has three digits."""
-    return F.round(value, 3) if measure == "avgcls" else metrics.to_int(value)
+    return f"round({value}, 3)" if measure == "avgcls" else f"CAST(round({value}) AS bigint)"
+
+
+def _share(vital: str, test: str, alias: str) -> Column:
+    """Whole percentage of the measured page views that pass a test."""
+    flag = f"{vital} {test}"
+    return F.expr(f"CAST(round(try_divide(count_if({flag}), count({flag})) * 100) AS bigint) AS {alias}")
+
+
+def _mean(measure: str, weight: str) -> str:
+    """Mean over all weights; a null measure counts in the denominator only."""
+    return f"try_divide(sum({measure} * {weight}), sum({weight}))"
 
 
 def _per_view(ev: DataFrame, span: TimeRange, p: ReportParams, owner: str, repo: str) -> DataFrame:
@@ -48,13 +63,16 @@ def _per_url(views: DataFrame) -> DataFrame:
     """Measures per period and url: within one sampling weight first, then weighted over weights."""
     by_weight = views.groupBy("current", "wanted", "url", "weight").agg(
         F.count("id").alias("events"),
-        *[metrics.percent_true(metrics.is_good(v, F.col(v))).alias(f"{v}good") for v in VITALS],
-        *[metrics.percent_true(metrics.is_bad(v, F.col(v))).alias(f"{v}bad") for v in VITALS],
-        *[_whole(f"avg{v}", metrics.p75(F.col(v))).alias(f"avg{v}") for v in VITALS],
+        *[_share(v, f"<= {VITAL_LIMITS[v][0]}", f"{v}good") for v in VITALS],
+        *[_share(v, f">= {VITAL_LIMITS[v][1]}", f"{v}bad") for v in VITALS],
+        *[
+            F.expr(_whole(f"avg{v}", f"percentile_approx({v}, 0.75, {metrics.ACCURACY})") + f" AS avg{v}")
+            for v in VITALS
+        ],
     )
     by_url = by_weight.groupBy("current", "wanted", "url").agg(
-        F.sum(F.col("events") * F.col("weight")).alias("pageviews"),
-        *[metrics.weighted_mean(F.col(m), F.col("weight")).alias(m) for m in MEASURES],
+        F.expr("sum(events * weight) AS pageviews"),
+        *[F.expr(f"{_mean(m, 'weight')} AS {m}") for m in MEASURES],
     )
     return by_url.withColumn("avgcls", F.round("avgcls", 3))
 
@@ -84,14 +102,11 @@ def dashboard(
     labelled = labelled.join(F.broadcast(totals), "current")
 
     def of_period(suffix: str) -> list[Column]:
-        inside = ~F.col("current") if suffix else F.col("current")
-        views = F.when(inside, F.col("pageviews"))
-        made = [F.sum(views).alias(f"pageviews{suffix}")]
-        for m in MEASURES:
-            value = metrics.weighted_mean(F.when(inside, F.col(m)), views)
-            made.append(_whole(m, value).alias(f"{m}{suffix}"))
-        share = F.try_divide(100 * F.sum(views), F.max(F.when(inside, F.col("total"))))
-        return made + [share.alias(f"rumshare{suffix}")]
+        inside = "NOT current" if suffix else "current"
+        views, total = (f"CASE WHEN {inside} THEN {c} END" for c in ("pageviews", "total"))
+        made = [F.expr(f"sum({views}) AS pageviews{suffix}")]
+        made += [F.expr(f"{_whole(m, _mean(m, views))} AS {m}{suffix}") for m in MEASURES]
+        return made + [F.expr(f"try_divide(100 * sum({views}), max({total})) AS rumshare{suffix}")]
 
     joined = labelled.groupBy("label").agg(*of_period(""), *of_period("_1"))
     growth = F.coalesce("pageviews", F.lit(0)) - F.coalesce("pageviews_1", F.lit(0))

@@ -105,8 +105,18 @@ def targets(
     )
 
 
-def not_found(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> DataFrame:
-    """Pages with ``404`` events, their views and the sources that lead to them."""
+# Sources listed in one row of the report on missing pages; a longer list goes on in further rows.
+LISTED_SOURCES = 100_000
+
+
+def not_found(
+    raw: DataFrame, p: ReportParams, keys: DataFrame | None = None, listed_sources: int = LISTED_SOURCES
+) -> DataFrame:
+    """Pages with ``404`` events, their views and the sources that lead to them.
+
+    A page with more than ``listed_sources`` sources takes several rows that differ in ``part`` and
+    ``all_sources``, so that no row grows with a busy page.
+    """
     cp = checkpoints(events(raw, p, keys).filter(F.col("checkpoint") == "404"))
     by_source = materialise(estimate_views(cp, ["url", "source"]))
     table = by_source.groupBy("url").agg(
@@ -115,10 +125,12 @@ def not_found(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) ->
     )
     # lists are built for the reported pages only
     best = top(table, p.limit, "views", "url")
-    shown = by_source.join(small(best.select("url"), p.limit), "url", "left_semi")
-    lists = shown.groupBy("url").agg(F.sort_array(F.collect_list("source")).alias("all_sources"))
-    return best.join(lists, "url", "left").orderBy(F.col("views").desc(), "url").select(
-        "url", "top_source", "all_sources", "source_count", "views"
+    shown = by_source.select("url", "source").join(small(best.select("url", "source_count"), p.limit), "url")
+    parts = F.ceil(F.col("source_count") / (listed_sources / 2)).cast("bigint")
+    part = F.when(F.col("source_count") > listed_sources, F.pmod(F.xxhash64("source"), parts)).otherwise(0)
+    lists = shown.groupBy("url", part.alias("part")).agg(F.sort_array(F.collect_list("source")).alias("all_sources"))
+    return lists.join(small(best, p.limit), "url").orderBy(F.col("views").desc(), "url", "part").select(
+        "url", "top_source", "all_sources", "source_count", "views", "part"
     )
 
 

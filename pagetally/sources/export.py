@@ -43,24 +43,12 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(",", *[_field(df, c) for c in df.columns]).alias("line"))
 
 
-def csv_header(df: DataFrame) -> str:
-    return ",".join(df.columns)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
-    """Part files, each with a header line, in the order of ``df``; a part without rows stays empty."""
-    head = csv_header(df)
+    """Part files that together, in order of their names, are the CSV text: header first, then the rows
+    in the order of ``df``. A result without rows gives no header either."""
     lines = csv_lines(df)
-
-    def with_header(batches):
-        import pyarrow as pa
-
-        for i, batch in enumerate(b for b in batches if b.num_rows):
-            if i == 0:
-                yield pa.RecordBatch.from_pydict({"line": [head]}, schema=batch.schema)
-            yield batch
-
-    lines.mapInArrow(with_header, "line string").write.mode("errorifexists").text(path)
+    header = df.sparkSession.range(1).where(lines.exists()).select(F.lit(",".join(df.columns)).alias("line"))
+    header.unionByName(lines).write.mode("errorifexists").text(path)
 
 
 def sheet_rows(df: DataFrame) -> DataFrame:
