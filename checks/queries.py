@@ -390,8 +390,8 @@ def keyset_page(spark, sf_dir):
     orders = views.table(spark, sf_dir, "orders")
     rows = orders.select(F.col("o_orderkey").cast("string").alias("id"), "o_totalprice", "o_custkey")
     rows = materialise(rows)
-    cursor = ordering.page_after(rows, ["o_totalprice", "id"], None, 40).orderBy(F.col("rownum").desc()).first()["id"]
-    return ordering.page_after(rows, ["o_totalprice", "id"], cursor, 25)
+    cursor = ordering.page_after(rows, ["o_totalprice", "id"], None, 40, stored=True).orderBy(F.col("rownum").desc()).first()["id"]
+    return ordering.page_after(rows, ["o_totalprice", "id"], cursor, 25, stored=True)
 
 
 @query
@@ -517,8 +517,9 @@ def bundles(spark, sf_dir):
 @query
 def bundles_page2(spark, sf_dir):
     rum, p = views.rum(spark, sf_dir), P.replace(startdate="2024-01-05", limit=20)
-    first = journeys.bundles(rum, p)
-    return journeys.bundles(rum, p, after=first.orderBy(F.col("rownum").desc()).first()["id"])
+    heads = materialise(journeys.bundle_heads(rum, p))
+    first = journeys.bundles(rum, p, heads=heads)
+    return journeys.bundles(rum, p, after=first.orderBy(F.col("rownum").desc()).first()["id"], heads=heads)
 
 
 @query
@@ -534,8 +535,9 @@ def content_requests_year(spark, sf_dir):
 @query
 def content_requests_page2(spark, sf_dir):
     rum = views.rum(spark, sf_dir)
-    first = content.content_requests(rum, DATES.replace(limit=1)).first()["id"]
-    return content.content_requests(rum, DATES.replace(limit=1), after=first)
+    table = materialise(content.request_table(rum, DATES))
+    first = content.content_requests(rum, DATES.replace(limit=1), table=table).first()["id"]
+    return content.content_requests(rum, DATES.replace(limit=1), after=first, table=table)
 
 
 @query

@@ -75,15 +75,18 @@ def page_after(
     limit: int,
     id_column: str = "id",
     name: str = "rownum",
+    stored: bool = False,
 ) -> DataFrame:
     """Rows that follow the cursor row in order, numbered by their position in the whole.
 
-    ``df`` should be materialised. The cursor is the first row with that id; an unknown one gives
-    no rows. Rows up to it are only counted, the page itself is a bounded top-k.
+    The cursor is the first row with that id; an unknown one gives no rows. Rows up to it are only
+    counted, the page itself is a bounded top-k. Looking up a cursor reads ``df`` three times, so it
+    is written first unless it is ``stored`` already, as for a caller that pages through a table.
     """
     if cursor is None:
         page, done = df, F.lit(0)
     else:
+        df = df if stored else materialise(df)
         here = F.struct(*order)
         at = df.filter(F.col(id_column) == cursor).orderBy(*order).limit(1).select(here).scalar()
         page = df.filter(here > at)

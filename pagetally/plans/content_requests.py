@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pagetally.functions import filters, metrics
 from pagetally.functions import fixed_values as fixed
 from pagetally.functions.timeframe import iso_text
-from pagetally.operators.materialise import materialise
 from pagetally.operators.ordering import page_after
 from pagetally.operators.popularity import top_value_by_count
 from pagetally.operators.scan import events
@@ -68,15 +67,14 @@ def monthly_requests(daily: DataFrame) -> DataFrame:
     return month.withColumn("cr_margin_of_error", margin).drop("rate", "n")
 
 
-def content_requests(
+def request_table(
     raw: DataFrame,
     p: ReportParams,
     keys: DataFrame | None = None,
     granularity: int = 30,
-    after: str = "-",
     more_sources: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One page of months (30) or years (365), in order of host and time. Dates are explicit, in UTC."""
+    """All months (30) or years (365) per host. Dates are explicit, in UTC. Write it once to page through it."""
     day = p.replace(offset=-1, interval=-1, timezone="UTC", device="all")
     ev = events(raw, day, keys).filter(
         filters.public_hosts(F.col("hostname"), fixed.EXCLUDED_SUFFIXES_CONTENT)
@@ -92,11 +90,24 @@ def content_requests(
     hosts = top_value_by_count(ev, ["hostname"], "host", "top_host")
     stamp = F.concat("hostname", F.lit(f"-{letter}-"), F.unix_micros("start").cast("string"))
     month = F.month("start") if letter == "m" else F.lit(None).cast("int")
-    table = table.join(hosts, "hostname", "left").select(
+    return table.join(hosts, "hostname", "left").select(
         F.sha1(stamp).alias("id"), F.year("start").alias("year"), month.alias("month"), "hostname", "top_host",
         (F.col("cr_pageviews") + F.col("cr_apicalls")).alias("content_requests"), "cr_margin_of_error",
         *SUMS, "start",
     )
+
+
+def content_requests(
+    raw: DataFrame,
+    p: ReportParams,
+    keys: DataFrame | None = None,
+    granularity: int = 30,
+    after: str = "-",
+    more_sources: tuple[str, ...] = (),
+    table: DataFrame | None = None,
+) -> DataFrame:
+    """One page in order of host and time, from a written ``request_table`` or a computed one."""
+    rows = request_table(raw, p, keys, granularity, more_sources) if table is None else table
     cursor = None if after == "-" else after
-    page = page_after(materialise(table), ["hostname", "start", "id"], cursor, p.limit)
+    page = page_after(rows, ["hostname", "start", "id"], cursor, p.limit, stored=table is not None)
     return page.orderBy("rownum").withColumn("time", iso_text(F.col("start"))).drop("start", "rownum")

@@ -1,8 +1,6 @@
 """What visitors do: checkpoint funnel, bounces, forms, raw bundles."""
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,28 +136,37 @@ def forms(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> Dat
 BUNDLE_EVENTS = 10_000
 
 
+def _bundle_events(raw: DataFrame, p: ReportParams, keys: DataFrame | None) -> DataFrame:
+    return events(raw, p.replace(offset=-1, interval=-1, enddate=p.startdate, timezone="UTC"), keys)
+
+
+def bundle_heads(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> DataFrame:
+    """One row per page view of the day, without its events. Write it once to read page after page."""
+    return _bundle_events(raw, p, keys).groupBy("id", "url").agg(
+        F.min("time").alias("start"), F.min("weight").cast("bigint").alias("weight"),
+        F.min("user_agent").alias("user_agent"), F.count(F.lit(1)).alias("size"),
+    )
+
+
 def bundles(
     raw: DataFrame,
     p: ReportParams,
     keys: DataFrame | None = None,
     after: str = "unset",
     bundle_events: int = BUNDLE_EVENTS,
+    heads: DataFrame | None = None,
 ) -> DataFrame:
     """One page of raw page views of the UTC day ``startdate``, each with its events.
 
-    Pages are cut over the bundle heads; only the events of the page's bundles are then gathered.
+    Pages are cut over the bundle heads (given as a written table, or computed); only the events of
+    the page's bundles are then gathered.
     A bundle of more than ``bundle_events`` events is given whole as several rows that differ in
     ``part`` (0 if there is but one) and share a row number, so that no row grows with a busy id.
     """
-    day = p.replace(offset=-1, interval=-1, enddate=p.startdate, timezone="UTC")
-    date.fromisoformat(day.startdate)
-    ev = events(raw, day, keys)
-    heads = materialise(ev.groupBy("id", "url").agg(
-        F.min("time").alias("start"), F.min("weight").cast("bigint").alias("weight"),
-        F.min("user_agent").alias("user_agent"), F.count(F.lit(1)).alias("size"),
-    ))
     cursor = None if after in ("unset", "-") else after
-    page = page_after(heads, ["start", "id", "url"], cursor, p.limit)
+    table = bundle_heads(raw, p, keys) if heads is None else heads
+    page = materialise(page_after(table, ["start", "id", "url"], cursor, p.limit, stored=heads is not None))
+    ev = _bundle_events(raw, p, keys)
 
     vital = [("lcp", "cwv-lcp"), ("inp", "cwv-inp"), ("cls", "cwv-cls"), ("ttfb", "cwv-ttfb")]
     name, value = F.col("checkpoint"), F.coalesce(*[F.col(v) for v, _ in vital])
