@@ -1,7 +1,7 @@
 """Filtered event scan and its two roll-ups."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from pagetally.functions import filters
@@ -66,6 +66,15 @@ def cluster_events(raw: DataFrame, p: ReportParams, generation: str = "-") -> Da
     )
 
 
+def by_text_keys(df: DataFrame, *keys: str) -> GroupedData:
+    """Group by several text columns, led by their hash; drop ``_hash`` from the result.
+
+    An aggregate that carries text sorts its input. With the hash in front, nearly all comparisons
+    are between two numbers.
+    """
+    return df.groupBy(F.xxhash64(*keys).alias("_hash"), *keys)
+
+
 def pageviews(ev: DataFrame) -> DataFrame:
     """One row per sampled page view. ``pageviews`` is the number of views it stands for."""
     vitals = [c for c in ("lcp", "cls", "fid", "inp", "ttfb") if c in ev.columns]
@@ -81,11 +90,11 @@ def pageviews(ev: DataFrame) -> DataFrame:
 def checkpoints(ev: DataFrame) -> DataFrame:
     """One row per page view, checkpoint, target and source."""
     texts = [c for c in ("hostname", "host", "url", "referer", "user_agent", "generation") if c in ev.columns]
-    return ev.groupBy("id", "checkpoint", "target", "source").agg(
+    return by_text_keys(ev, "id", "checkpoint", "target", "source").agg(
         F.max("time").alias("time"),
         F.max("weight").alias("pageviews"),
         *[F.min(c).alias(c) for c in texts],
-    )
+    ).drop("_hash")
 
 
 def shards(log: DataFrame, first_month: str, last_month: str) -> DataFrame:
