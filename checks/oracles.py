@@ -122,6 +122,14 @@ add("rollup_checkpoints", f"""SELECT id, checkpoint, target, source, strftime(ti
 add("urls_from_list", """SELECT c_custkey, 'c' || c_custkey || '.example.com' AS url FROM customer
   UNION ALL SELECT c_custkey, 'www.c' || c_custkey || '.example.com' FROM customer""")
 
+add("sql_functions", f"""SELECT hostname, user_agent, count(*) AS n, {big('sum(pageviews)')} AS views,
+  round(CASE WHEN max(pageviews) = 1 THEN 0 ELSE 1.96 * max(pageviews) * sqrt(count(*)) END, 6) AS margin FROM pv
+  WHERE hostname IN ('www.example.com', 'blog.example.com') AND user_agent NOT LIKE 'bot%' GROUP BY 1, 2
+UNION ALL SELECT hostname, checkpoint, count(*), {big('sum(pageviews)')}, round({phi('count(*) / 100.0')}, 6) FROM phones GROUP BY 1, 2""",
+    """phones AS (SELECT id, checkpoint, target, source, hostname, max(weight) AS pageviews FROM ev
+      WHERE url LIKE 'https://shop.example.org/p1%' AND user_agent LIKE 'mobile%' GROUP BY ALL)""",
+    ev=events_cte("2024-01-05", "2024-02-01"))
+
 # ---- generated rows
 
 _grids = {

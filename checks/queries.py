@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import views
-from pagetally.functions import filters, metrics
+from pagetally.functions import filters, metrics, sql
 from pagetally.functions import fixed_values as fixed
 from pagetally.functions.timeframe import as_instant, instant_text, time_range, truncate
 from pagetally.operators import access, ordering, percentile, popularity, scan, slots
@@ -207,6 +207,20 @@ def urls_from_list(spark, sf_dir):
     return slots.urls_from_list(customers.select("c_custkey", text.alias("list")), "list").drop("list")
 
 
+@query
+def sql_functions(spark, sf_dir):
+    """The scan and roll-ups as SQL table functions."""
+    views.rum(spark, sf_dir).createOrReplaceTempView("raw_rum_events")
+    sql.register(spark, "raw_rum_events")
+    span = "TIMESTAMP '2024-01-05', TIMESTAMP '2024-02-01'"
+    return spark.sql(f"""
+        SELECT hostname, user_agent, count(*) AS n, sum(pageviews) AS views, margin_of_error(max(pageviews), count(*)) AS margin
+        FROM rum_pageviews('www.example.com,blog.example.com', {span}, 'nobot') GROUP BY hostname, user_agent
+        UNION ALL
+        SELECT hostname, checkpoint, count(*), sum(pageviews), normal_cdf(count(*) / 100D)
+        FROM rum_checkpoints('shop.example.org/p1', {span}, 'mobile') GROUP BY hostname, checkpoint""")
+
+
 # ---- generated rows
 
 @query

@@ -44,3 +44,23 @@ def test_devices(spark):
     assert kept(spark, lambda v: filters.device_class(v, "nobot"), *agents) == agents[:2]
     assert kept(spark, lambda v: filters.device_class(v, "mobile"), *agents) == ["mobile:ios"]
     assert filters.device_class(F.col("v"), "all") is None
+
+
+def test_sql_functions_agree(spark, make_events):
+    from datetime import datetime
+
+    from pagetally.functions import sql
+    from pagetally.operators import scan
+    from pagetally.params import ReportParams
+
+    rows = make_events(*[
+        {"id": str(i), "time": "2024-01-10", "url": u, "hostname": u.split("/")[2].split(":")[0]} for i, u in enumerate(URLS)
+    ], {"id": "odd", "time": "2024-01-10", "weight": 7}, {"id": "bad", "time": "2024-01-10", "hostname": "bad host"})
+    rows.createOrReplaceTempView("few_events")
+    sql.register(spark, "few_events")
+    p = ReportParams(as_of=datetime(2024, 2, 1), interval=31)
+    for wanted in ("-", "a.com", "a.com/p", "a.com/p$", "a.com/p?", "localhost:3000/p", "a.com, b.com,"):
+        listed = spark.sql(
+            "SELECT id FROM rum_events(:w, TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', 'all')", args={"w": wanted}
+        )
+        assert {r.id for r in listed.collect()} == {r.id for r in scan.events(rows, p.replace(url=wanted)).collect()}, wanted
