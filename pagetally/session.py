@@ -12,6 +12,8 @@ SETTINGS = {
     # the JIT leaves methods above 8000 bytes of bytecode interpreted; wide reports are then
     # faster in smaller pieces than as one fused stage
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # a session that runs many reports keeps their generated classes
+    "spark.sql.codegen.cache.maxEntries": "2000",
     # no Python call-site capture per expression; reports build some hundred expressions each
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
