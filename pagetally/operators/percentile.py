@@ -1,8 +1,6 @@
 """Exact quantiles without holding a group in one task."""
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetally.functions import filters
 from pagetally.functions.timeframe import TimeRange, as_instant, from_local, local_instant, to_local
 from pagetally.params import ReportParams
 
@@ -67,7 +66,3 @@ def urls_from_list(lists: DataFrame, column: str) -> DataFrame:
     """One row per entry of a comma list; blanks go, and a trailing comma gives no entry."""
     clean = F.regexp_replace(F.regexp_replace(F.col(column), ",+$", ""), " ", "")
     return lists.withColumn("url", F.explode(F.split(clean, ",")))
-
-
-def listed_urls(text: str) -> list[str]:
-    return filters.split_list(text)

@@ -4,7 +4,6 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from pagetally.params import ReportParams
 from pagetally.plans import content_requests as content
