@@ -9,26 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts
 from .ordering import dealt_in_order, with_positions
 
 #: Up to eight words with the white space around them; or white space alone.
 UNIT = r"\s*(?:\S+\s*){1,8}|\s+"
 
 
-def _paragraph(text: Column) -> Column:
-    units = F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: F.sha2(u, 256))
-    return F.struct(F.sha2(F.concat_ws("", units), 256).alias("hash"), units.alias("units"))
+def _hash(children: Column) -> Column:
+    return F.sha2(F.concat_ws("", children), 256)
 
 
-def _section(text: Column) -> Column:
-    paragraphs = F.transform(F.split(text, "\n", -1), _paragraph)
-    hashes = F.concat_ws("", F.transform(paragraphs, lambda p: p["hash"]))
-    return F.struct(F.sha2(hashes, 256).alias("hash"), paragraphs.alias("paragraphs"))
+def _paragraph(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: F.sha2(u, 256))
 
 
 def sections(text: Column) -> Column:
-    """The tree below the root: array of (hash, paragraphs: array of (hash, units: array of hashes))."""
-    return F.transform(F.split(text, "\n\n", -1), _section)
+    """The tree below the root: array of (hash, paragraphs: array of (hash, units: array of hashes)).
+
+    Each level is bound by a lambda of its own, so that no hash is computed twice.
+    """
+    units = F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), _paragraph))
+    paragraphs = F.transform(units, lambda s: F.transform(s, lambda p: F.struct(_hash(p).alias("hash"), p.alias("units"))))
+    return F.transform(paragraphs, lambda s: F.struct(_hash(F.transform(s, lambda p: p["hash"])).alias("hash"), s.alias("paragraphs")))
 
 
 def fingerprint(tree: Column) -> Column:
@@ -91,29 +94,26 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The order is settled on ids alone. Texts are shuffled once, by id; what a document passes on (the part that is
     needed, and its fingerprint) once more.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    ids = rows.select("doc_id", "id", "key", F.char_length("text").alias("n")).dropDuplicates(["id", "key"])
+    rows = texts(docs, id_col, text_col)
+    ids = rows.select("doc_id", "key", F.char_length("text").alias("n")).dropDuplicates(["doc_id", "key"])
     order = [F.col("doc_id").desc_nulls_last(), F.col("key").desc()]
     placed = with_positions(dealt_in_order(ids, order, "document-order"), order)
     # the document before takes from this one
     takers = placed.select(
-        (F.col("row") % F.col("rows") + 1).alias("row"), F.col("id").alias("taker_id"), F.col("key").alias("taker_key"), F.expr("n div 3").alias("taken"),
+        (F.col("row") % F.col("rows") + 1).alias("row"), F.col("doc_id").alias("taker_id"), F.col("key").alias("taker_key"), F.expr("n div 3").alias("taken"),
     )
-    passed_to = placed.select("row", "id", "key").join(takers, "row").drop("row")
+    passed_to = placed.select("row", F.col("doc_id").alias("giver_id"), F.col("key").alias("giver_key")).join(takers, "row").drop("row")
 
+    # both joins deal the same columns of the texts out by the same keys: Spark does it once
     given = (
-        rows.select("id", "key", "text").join(passed_to.hint("shuffle_hash"), ["id", "key"])
+        rows.join(passed_to.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("giver_id")) & (F.col("key") == F.col("giver_key")))
         .withColumn("tree", sections(F.col("text")))
-        .select(
-            F.col("taker_id").alias("id"), F.col("taker_key").alias("key"),
-            F.expr("substring(text, 1, taken)").alias("piece"), fingerprint(F.col("tree")).alias("next_fingerprint"),
-        )
+        .select("taker_id", "taker_key", F.expr("substring(text, 1, taken)").alias("piece"), fingerprint(F.col("tree")).alias("next_fingerprint"))
         # repeated rows give the same twice
-        .dropDuplicates(["id", "key"])
+        .dropDuplicates(["taker_id", "taker_key"])
     )
     both = (
-        rows.join(given, ["id", "key"])
+        rows.join(given, F.col("doc_id").eqNullSafe(F.col("taker_id")) & (F.col("key") == F.col("taker_key")))
         .withColumn("n_chars", F.char_length("text"))
         .withColumn("edited", F.concat(F.expr("substring(text, 1, n_chars - n_chars div 3)"), F.col("piece")))
         .withColumn("tree", sections(F.col("text"))).withColumn("edited_tree", sections(F.col("edited")))

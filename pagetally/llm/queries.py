@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, language, merkle, packing, shards
+from . import bpe, html, language, merkle, packing, repeats, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "languages", "proportions")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.kept_digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_substrings": op2_substrings,
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
     "op6_html": op6_html,
