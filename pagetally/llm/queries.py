@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, language, merkle, packing, repeats, shards
+from . import bpe, decontaminate, html, language, merkle, packing, repeats, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shards(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_substrings": op2_substrings,
@@ -47,4 +51,5 @@ QUERIES = {
     "op6_html": op6_html,
     "op7_token_counts": op7_token_counts,
     "op9_shards": op9_shards,
+    "op10_decontamination": op10_decontamination,
 }
