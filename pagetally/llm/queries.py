@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, language, merkle, packing, repeats, shards
+from . import bpe, decontaminate, html, language, merkle, minhash, packing, repeats, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_substrings": op2_substrings,
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_html": op6_html,
     "op7_token_counts": op7_token_counts,
     "op9_shards": op9_shards,
