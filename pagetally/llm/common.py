@@ -38,7 +38,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, key, text; a null text is empty. Rows of equal id and key are the same document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.hash(text).alias("key"), text.alias("text"))
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -143,5 +143,22 @@ def word_symbols(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.n
     return Runs(byte_symbols(data)).hashes(begins, ends)
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in a row that agree in the first column, as one table each; a group may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(batch)]
+        for low, high in zip(edges[:-1], edges[1:]):
+            if held and held[0].column(0)[0].as_py() != key[low]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

@@ -24,6 +24,8 @@ TRAIN_DOCS = 20_000
 ROUNDS, ROUNDS_LESS = 12, 6
 #: A trigram overlaps its neighbours by two letters, so it counts as a third of an observation.
 EVIDENCE = 1 / 3
+#: The language of a text that has none.
+UNKNOWN = "und"
 #: Text that is looked at together, in bytes.
 TOGETHER = 1 << 20
 
@@ -161,6 +163,22 @@ def shares(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return result, n
 
 
+def judged(model: Model, column: pa.Array) -> Iterator[tuple[str, float, list[str], list[float]]]:
+    """Language, its share, all languages and their shares of each text of a column without nulls."""
+    _, at = string_bytes(column)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + TOGETHER, "right")) - 1)
+        texts = column.slice(first, last - first).to_pylist()
+        for text, row, many in zip(texts, *shares(model, texts)):
+            if not many or not row.any() or not _LETTER.search(text):
+                yield UNKNOWN, 0.0, [], []
+                continue
+            order = [i for i in np.argsort(-row, kind="stable") if row[i] > 0]
+            yield model.languages[order[0]], min(1.0, float(row[order[0]])), [model.languages[i] for i in order], [float(row[i]) for i in order]
+        first = last
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, languages, proportions of every document; `languages` have the best penalised likelihood.
 
@@ -171,25 +189,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned = shared.value
         for batch in batches:
-            _, at = string_bytes(batch.column(1)) if len(batch) else (None, np.zeros(1, np.int64))
-            preds, scores, sets, parts = [], [], [], []
-            first = 0
-            while first < len(batch):
-                last = max(first + 1, int(np.searchsorted(at, at[first] + TOGETHER, "right")) - 1)
-                texts = batch.column(1).slice(first, last - first).to_pylist()
-                pi, n = shares(learned, texts)
-                for text, row, many in zip(texts, pi, n):
-                    if not many or not row.any() or not _LETTER.search(text):
-                        preds.append("und"), scores.append(0.0), sets.append([]), parts.append([])
-                        continue
-                    order = [i for i in np.argsort(-row, kind="stable") if row[i] > 0]
-                    preds.append(learned.languages[order[0]])
-                    scores.append(min(1.0, float(row[order[0]])))
-                    sets.append([learned.languages[i] for i in order])
-                    parts.append([float(row[i]) for i in order])
-                first = last
+            preds, scores, sets, parts = zip(*judged(shared.value, batch.column(1))) if len(batch) else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))],
                 ["doc_id", "lang_pred", "score", "languages", "proportions"],
@@ -200,6 +201,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
+def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is known with at least that share; null texts are not among them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [lang != UNKNOWN and score >= least for lang, score, _, _ in judged(shared.value, batch.column(place).fill_null(""))]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """A quarter of the documents, by checksum of the id; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Runs, chunks, mixed, signed, texts, word_symbols, words, written
+from .common import LOWER, Runs, chunks, groups, mixed, signed, texts, word_symbols, words, written
 from .components import components
 
 #: Minima, minima in a band, and low bits kept of each minimum.
@@ -120,7 +120,7 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(sketch, f"doc_id {kind}, key long, n long, set_a long, set_b long, bands array<long>, signature array<long>")
+    return rows.mapInArrow(sketch, f"doc_id {kind}, key int, n long, set_a long, set_b long, bands array<long>, signature array<long>")
 
 
 def lists(table: np.ndarray) -> pa.ListArray:
@@ -140,7 +140,7 @@ def full_sets(rows: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), made], ["doc_id", "key", "shingles"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(make, f"doc_id {kind}, key long, shingles array<long>")
+    return rows.mapInArrow(make, f"doc_id {kind}, key int, shingles array<long>")
 
 
 def compared(a: list[np.ndarray], b: list[np.ndarray], wanted: np.ndarray, percent: int) -> np.ndarray:
@@ -180,10 +180,8 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components among rows (task, side, doc_id, component, signature, shingles), dealt by task."""
     least = percent / 100 - MARGIN
 
-    def links(rows: list[pa.RecordBatch]) -> tuple[list[int], list[int], pa.Array]:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        ids, component = table.column(2), table.column(3)
-        codes = component.combine_chunks().dictionary_encode().indices.to_numpy() if table.num_rows else np.zeros(0)
+    def links(table: pa.Table) -> tuple[list[int], list[int]]:
+        codes = table.column(3).combine_chunks().dictionary_encode().indices.to_numpy()
         side = table.column(1).to_numpy()
         signature = np.array(table.column(4).combine_chunks().flatten()).astype(np.int64).view(np.uint64).reshape(table.num_rows, -1)
         # sides: 0 and 1 of two blocks; 2 of a block with itself
@@ -196,34 +194,19 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
             part = slice(low, low + (1 << 16))
             wanted[i[part], j[part]] = estimate(signature[a[i[part]]], signature[b[j[part]]]) >= least
         if not wanted.any():
-            return [], [], ids
+            return [], []
         flat = table.column(5).combine_chunks()
         offsets, values = np.asarray(flat.offsets), np.asarray(flat.values).view(np.uint64)
         sets = [values[offsets[k]:offsets[k + 1]] for k in range(table.num_rows)]
         found = compared([sets[k] for k in a], [sets[k] for k in b], wanted, percent)
         i, j = np.nonzero(found)
-        return a[i].tolist(), b[j].tolist(), ids
+        return a[i].tolist(), b[j].tolist()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            task = batch.column(0).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(batch)]
-            for low, high in zip(edges[:-1], edges[1:]):
-                part = batch.slice(low, high - low)
-                if held and held[0].column(0)[0].as_py() != task[low]:
-                    yield made(*links(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield made(*links(held))
-
-    def made(i: list[int], j: list[int], ids) -> pa.RecordBatch:
-        # links that add nothing within the block are left out: one for each pair of components would do, all are kept
-        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(i, pa.int64())), ids.take(pa.array(j, pa.int64()))], ["a", "b"])
+        for table in groups(batches):
+            a, b = links(table)
+            ids = table.column(2).combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))], ["a", "b"])
 
     kind = members.schema["doc_id"].dataType.simpleString()
     dealt = members.repartition("task").sortWithinPartitions("task")
@@ -316,6 +299,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return result.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without the documents that `near_duplicates` does not keep."""
+    gone = near_duplicates(docs, size, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone_id"), "left_anti")
+
+
 def joined_by_id(result: DataFrame) -> DataFrame:
     """Components that meet in the texts of one doc_id are one."""
     result = written(result, "named")

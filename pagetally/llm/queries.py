@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, language, merkle, minhash, packing, repeats, shards
+from . import bpe, decontaminate, html, language, merkle, minhash, packing, repeats, shards, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return removed.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shards(table(spark, sf_dir, "documents"))
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_html": op6_html,
     "op7_token_counts": op7_token_counts,
+    "op8_suffix_arrays": op8_suffix_arrays,
     "op9_shards": op9_shards,
     "op10_decontamination": op10_decontamination,
 }

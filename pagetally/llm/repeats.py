@@ -46,7 +46,7 @@ def find_seeds(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     ["anchor", "run", "doc_id", "key", "begin", "n"],
                 )
 
-    return rows.mapInArrow(find, f"anchor long, run long, doc_id {_kind(rows)}, key long, begin int, n int")
+    return rows.mapInArrow(find, f"anchor long, run long, doc_id {_kind(rows)}, key int, begin int, n int")
 
 
 def open_windows(rows: DataFrame, length: int) -> DataFrame:
@@ -136,7 +136,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     """
     rows = texts(docs, id_col, text_col)
     found = repeats(rows, length, gram)
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.hash(F.coalesce("text", F.lit(""))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,6 +162,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     return both.mapInArrow(cut, f"doc_id {_kind(whole)}, n_words long, n_removed long, passages array<struct<begin:long,end:long>>, kept string")
 
 
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with the text that `remove_repeats` keeps; documents of which nothing stays are left out."""
+    found = repeats(texts(docs, id_col, text_col), length, gram).select(F.col("doc_id").alias("_found_id"), F.col("key").alias("_found_key"), F.col("passages").alias("_passages"))
+    place, columns = docs.columns.index(text_col), docs.columns
+    both = docs.withColumn("_key", F.hash(F.coalesce(F.col(text_col), F.lit("")))).join(
+        found.hint("shuffle_hash"), (F.col(id_col) == F.col("_found_id")) & (F.col("_key") == F.col("_found_key")), "left"
+    ).select(*columns, "_passages")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, good = [], []
+            for text, passages in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist()):
+                if passages:
+                    every = text.encode().split()
+                    text = b" ".join([w for w, out in zip(every, covered(passages, len(every)).tolist()) if not out]).decode()
+                made.append(text)
+                good.append(not passages or bool(text))
+            arrays = batch.columns[:len(columns)]
+            arrays[place] = pa.array(made, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(cut, docs.schema)
+
+
 def kept_digest(removed: DataFrame) -> DataFrame:
     """kept_sha256 in place of kept: of the words that stay, joined by one space."""
 
