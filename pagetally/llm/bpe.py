@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Pieces a worker remembers; beyond that it starts anew, so memory stays bounded.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def _latin_split() -> re.Pattern:

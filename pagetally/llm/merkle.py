@@ -104,16 +104,22 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     passed_to = placed.select("row", F.col("doc_id").alias("giver_id"), F.col("key").alias("giver_key")).join(takers, "row").drop("row")
 
-    # both joins deal the same columns of the texts out by the same keys: Spark does it once
+    # both joins deal the same columns of the texts out by the same keys, so Spark does it once; a null id is a key, too
+    zero = F.lit(0).cast(rows.schema["doc_id"].dataType)
+    ours = F.coalesce("doc_id", zero), F.col("doc_id").isNull()
+    passed_to = passed_to.select(
+        F.coalesce("giver_id", zero).alias("giver"), F.col("giver_id").isNull().alias("giver_null"), "giver_key",
+        F.coalesce("taker_id", zero).alias("taker"), F.col("taker_id").isNull().alias("taker_null"), "taker_key", "taken",
+    )
     given = (
-        rows.join(passed_to.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("giver_id")) & (F.col("key") == F.col("giver_key")))
+        rows.join(passed_to.hint("shuffle_hash"), (ours[0] == F.col("giver")) & (ours[1] == F.col("giver_null")) & (F.col("key") == F.col("giver_key")))
         .withColumn("tree", sections(F.col("text")))
-        .select("taker_id", "taker_key", F.expr("substring(text, 1, taken)").alias("piece"), fingerprint(F.col("tree")).alias("next_fingerprint"))
+        .select("taker", "taker_null", "taker_key", F.expr("substring(text, 1, taken)").alias("piece"), fingerprint(F.col("tree")).alias("next_fingerprint"))
         # repeated rows give the same twice
-        .dropDuplicates(["taker_id", "taker_key"])
+        .dropDuplicates(["taker", "taker_null", "taker_key"])
     )
     both = (
-        rows.join(given, F.col("doc_id").eqNullSafe(F.col("taker_id")) & (F.col("key") == F.col("taker_key")))
+        rows.join(given, (ours[0] == F.col("taker")) & (ours[1] == F.col("taker_null")) & (F.col("key") == F.col("taker_key")))
         .withColumn("n_chars", F.char_length("text"))
         .withColumn("edited", F.concat(F.expr("substring(text, 1, n_chars - n_chars div 3)"), F.col("piece")))
         .withColumn("tree", sections(F.col("text"))).withColumn("edited_tree", sections(F.col("edited")))
