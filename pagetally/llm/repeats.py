@@ -114,16 +114,44 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     )
 
 
-def covered(passages: list[dict], n: int) -> np.ndarray:
+def covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Which of n words (or bytes) some passage covers."""
     change = np.zeros(n + 1, np.int32)
-    if passages:
-        ends = np.array([(p["begin"], p["end"]) for p in passages], np.int64)
-        np.add.at(change, ends[:, 0], 1)
-        np.add.at(change, ends[:, 1], -1)
+    np.add.at(change, begin, 1)
+    np.add.at(change, end, -1)
     return np.cumsum(change[:-1]) > 0
 
 
+def with_passages(texts: pa.Array, passages: pa.Array) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
+    """Each text with the begins and ends of its passages, which may be null."""
+    at = np.asarray(passages.offsets) - passages.offsets[0].as_py() if len(passages) else np.zeros(1, np.int64)
+    both = passages.flatten()
+    # a null list has no part in the flat values, and equal offsets
+    begin, end = (both.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    for i, text in enumerate(texts):
+        yield text.as_py(), begin[at[i]:at[i + 1]], end[at[i]:at[i + 1]]
+
+
+def runs_of(out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of True begin and end."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], out, [False]))))
+    return edges[::2], edges[1::2]
+
+
+def as_spans(runs: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """A column of arrays of (begin, end)."""
+    ends = np.cumsum([0, *(len(a) for a, _ in runs)]).astype(np.int32)
+    begin, end = (np.concatenate([x[i] for x in runs] or [np.zeros(0)]).astype(np.int64) for i in (0, 1))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], ["begin", "end"]))
+
+
+def without(text: str, begin: np.ndarray, end: np.ndarray) -> tuple[str, np.ndarray]:
+    """The words that no passage covers, joined by one space, and which go."""
+    every = text.encode().split()
+    out = covered(begin, end, len(every))
+    return b" ".join([w for w, gone in zip(every, out.tolist()) if not gone]).decode(), out
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, passages and kept of every document: what stays when repeated passages go.
 
@@ -141,20 +169,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, runs, kept = [], [], [], []
-            for text, passages in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                every = (text or "").encode().split()
-                total.append(len(every))
-                if not passages:
-                    gone.append(0), runs.append([]), kept.append(text)
-                    continue
-                out = covered(passages, len(every))
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], out, [False]))))
-                gone.append(int(out.sum()))
-                runs.append([{"begin": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])])
-                kept.append(b" ".join([w for w, o in zip(every, out.tolist()) if not o]).decode())
+            for text, begin, end in with_passages(batch.column(1), batch.column(2)):
+                if len(begin):
+                    text, out = without(text, begin, end)
+                else:
+                    out = np.zeros(len((text or "").encode().split()), bool)
+                total.append(len(out)), gone.append(int(out.sum())), runs.append(runs_of(out)), kept.append(text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array(runs, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())],
+                 as_spans(runs), pa.array(kept, pa.string())],
                 ["doc_id", "n_words", "n_removed", "passages", "kept"],
             )
 
@@ -173,12 +196,11 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made, good = [], []
-            for text, passages in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist()):
-                if passages:
-                    every = text.encode().split()
-                    text = b" ".join([w for w, out in zip(every, covered(passages, len(every)).tolist()) if not out]).decode()
+            for text, begin, end in with_passages(batch.column(place), batch.column(len(columns))):
+                if len(begin):
+                    text, _ = without(text, begin, end)
                 made.append(text)
-                good.append(not passages or bool(text))
+                good.append(not len(begin) or bool(text))
             arrays = batch.columns[:len(columns)]
             arrays[place] = pa.array(made, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(good, pa.bool_()))

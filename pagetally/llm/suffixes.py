@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Runs, byte_symbols, chunks, groups, signed, texts, written
-from .repeats import covered
+from .repeats import as_spans, covered, runs_of, with_passages
 from .winnow import spans
 
 #: Bytes of a repeated string, bytes by which suffixes meet, and batches that the documents of a table are taken in.
@@ -108,8 +108,11 @@ def _windows(column: pa.Array, n: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def extended(around: DataFrame, length: int) -> DataFrame:
-    """(suffix, run, places: array of int): the strings of each run that another run of its suffix has as well."""
-    schema = "suffix long, run long, places array<int>"
+    """(suffix, run, places: array of (begin, end)): the strings of each run that another run of its suffix has as well.
+
+    Strings are numbered within their run, and a place stands for those from begin to end, without it.
+    """
+    schema = "suffix long, run long, places array<struct<begin:int,end:int>>"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches):
@@ -119,9 +122,15 @@ def extended(around: DataFrame, length: int) -> DataFrame:
             again = counts[back] > 1
             if not again.any():
                 continue
-            which, place = which[again], place[again].astype(np.int32)
-            runs, first = np.unique(which, return_index=True)
-            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(which)).astype(np.int32)), pa.array(place))
+            where = np.flatnonzero(again)
+            new = np.ones(len(where), bool)
+            new[1:] = (where[1:] != where[:-1] + 1) | (which[where[1:]] != which[where[:-1]])
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(where)) - 1
+            begin, end = place[where[head]].astype(np.int32), place[where[tail]].astype(np.int32) + np.int32(1)
+            runs, first = np.unique(which[where[head]], return_index=True)
+            pairs = pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], ["begin", "end"])
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(head)).astype(np.int32)), pairs)
             take = pa.array(runs)
             yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks().take(take), table.column(1).combine_chunks().take(take), places], ["suffix", "run", "places"])
 
@@ -136,7 +145,7 @@ def extended(around: DataFrame, length: int) -> DataFrame:
     few = around.filter(F.col("several") <= TOGETHER).select("suffix", "run", "n", "bytes").repartition("suffix").sortWithinPartitions("suffix")
     many = around.filter(F.col("several") > TOGETHER).select("suffix", "run", "n", "bytes").mapInArrow(explode, "suffix long, run long, place int, window long")
     again = many.groupBy("suffix", "window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("suffix", "window")
-    many = many.join(again, ["suffix", "window"]).groupBy("suffix", "run").agg(F.collect_list("place").alias("places"))
+    many = many.join(again, ["suffix", "window"]).groupBy("suffix", "run").agg(F.collect_list(F.struct(F.col("place").alias("begin"), (F.col("place") + 1).alias("end"))).alias("places"))
     return few.mapInArrow(compare, schema).union(many)
 
 
@@ -165,7 +174,7 @@ def repeated_bytes(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     found = entries.join(judged, ["suffix", "run"]).select(
         "doc_id", "key",
         F.when(F.col("times") > 1, F.array(F.struct(F.col("begin").alias("begin"), (F.col("begin") + F.col("n") + (length - 1)).alias("end"))))
-        .otherwise(F.transform("places", lambda p: F.struct((F.col("begin") + p).alias("begin"), (F.col("begin") + p + length).alias("end"))))
+        .otherwise(F.transform("places", lambda p: F.struct((F.col("begin") + p["begin"]).alias("begin"), (F.col("begin") + p["end"] + (length - 1)).alias("end"))))
         .alias("passages"),
     )
     return found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("passages")).alias("passages"))
@@ -189,20 +198,14 @@ def remove_repeated_bytes(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, runs, kept = [], [], [], []
-            for text, passages in zip(batch.column(1), batch.column(2).to_pylist()):
-                raw = text.as_py().encode()
-                total.append(len(raw))
-                if not passages:
-                    gone.append(0), runs.append([]), kept.append(raw)
-                    continue
-                out = covered(passages, len(raw))
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], out, [False]))))
-                gone.append(int(out.sum()))
-                runs.append([{"begin": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])])
-                kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
+            for text, begin, end in with_passages(batch.column(1), batch.column(2)):
+                raw = text.encode()
+                out = covered(begin, end, len(raw))
+                total.append(len(raw)), gone.append(int(out.sum())), runs.append(runs_of(out))
+                kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes() if len(begin) else raw)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array(runs, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                 as_spans(runs), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "spans", "kept"],
             )
 
