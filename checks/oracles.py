@@ -628,6 +628,7 @@ add("csv_export", """SELECT event_id || ',"' || replace(props, '"', '""') || '",
   || ',"' || event_type || '",' || CASE user_id % 4 WHEN 0 THEN CAST(user_id // 4 AS VARCHAR) ELSE CAST(user_id / 4 AS VARCHAR) END AS line
 FROM events""")
 add("sheet_export", """SELECT CAST(to_json({'page_id': page_id, 'url': url, 'rest': nullif(page_id % 3, 0)}) AS VARCHAR) AS row FROM pages""")
-add("size_cap", """SELECT o_orderkey, o_custkey, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders)
-WHERE place <= 1 + floor(40000 / (SELECT avg(length(CAST(to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus}) AS VARCHAR)))
-  FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10)))""")
+add("size_cap", """SELECT o_orderkey, o_custkey, o_orderstatus,
+  CAST(floor((sum(size) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - size) / 40000) AS BIGINT) AS part
+FROM (SELECT o_orderkey, o_custkey, o_orderstatus,
+  length(CAST(to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus}) AS VARCHAR)) AS size FROM orders)""")

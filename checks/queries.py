@@ -688,8 +688,7 @@ def sheet_export(spark, sf_dir):
 @query
 def size_cap(spark, sf_dir):
     rows = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    kept, _ = ordering.fit_delivery(rows, [F.col("o_orderkey")], max_bytes=40_000)
-    return kept
+    return ordering.delivery_parts(rows, "o_orderkey", max_bytes=40_000)
 
 
 @query

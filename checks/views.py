@@ -4,13 +4,13 @@ Texts with ``{table}`` marks run unchanged in Spark SQL and, with plain table na
 """
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetally.operators.access import key_digest
+from pagetally.operators.materialise import ensure_checkpoint_dir
 
 # ts is stored without a zone; reading it as an instant keeps time filters in the file scan
 EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -145,7 +145,8 @@ def scratch(spark: SparkSession) -> str:
     """A new folder for a job's tables, below the folder that the cluster shares."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pagetally-")
+        ensure_checkpoint_dir(spark)
+        shared = spark.sparkContext.getCheckpointDir()
     return f"{shared}/job-{uuid.uuid4()}"
 
 

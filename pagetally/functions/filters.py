@@ -44,10 +44,10 @@ def raw_device_class(user_agent: Column, device: str) -> Column | None:
 
 
 def url_matches(url: Column, wanted: str) -> Column | None:
-    """Prefix by default; ``…$`` exact; ``…?`` exact path with or without a query string."""
+    """Prefix by default; ``…$`` exact; ``…?`` exact path with or without a query string. One trailing mark counts."""
     if wanted == "-":
         return None
-    bare = wanted.rstrip("$?")
+    bare = wanted[:-1] if wanted.endswith(("$", "?")) else wanted
     schemes = ["https://"] + (["http://"] if wanted.startswith("localhost") else [])
     if wanted.endswith("$"):
         return any_of(*(url == s + bare for s in schemes))

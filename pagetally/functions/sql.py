@@ -21,11 +21,13 @@ SCALARS = {
         WHEN 'bot' THEN startswith(agent, 'bot') ELSE false END""",
     "clean_timezone(zone STRING) RETURNS STRING": "CASE WHEN zone IN ('', 'undefined') THEN 'GMT' ELSE zone END",
     "url_matches(page STRING, wanted STRING) RETURNS BOOLEAN": """
-        wanted = '-'
-        OR (endswith(wanted, '$') AND page = concat('https://', rtrim('$', wanted)))
-        OR (endswith(wanted, '?') AND (page = concat('https://', rtrim('?', wanted)) OR startswith(page, concat('https://', wanted))))
-        OR (NOT endswith(wanted, '$') AND NOT endswith(wanted, '?') AND startswith(page, concat('https://', wanted)))
-        OR (startswith(wanted, 'localhost') AND startswith(page, concat('http://', wanted)))""",
+        wanted = '-' OR exists(
+            CASE WHEN startswith(wanted, 'localhost') THEN array('https://', 'http://') ELSE array('https://') END,
+            scheme -> CASE
+                WHEN endswith(wanted, '$') THEN page = concat(scheme, left(wanted, length(wanted) - 1))
+                WHEN endswith(wanted, '?')
+                    THEN page = concat(scheme, left(wanted, length(wanted) - 1)) OR startswith(page, concat(scheme, wanted))
+                ELSE startswith(page, concat(scheme, wanted)) END)""",
     "margin_of_error(rate DOUBLE, successes DOUBLE) RETURNS DOUBLE":
         f"CASE WHEN rate = 1 THEN 0D ELSE {fixed.Z_95}D END * rate * sqrt(successes)",
     "normal_cdf(x DOUBLE) RETURNS DOUBLE": f"""

@@ -88,7 +88,13 @@ def from_local(wall: Column, tz: str) -> Column:
 
 
 def truncate(time: Column, unit: str, tz: str = "UTC") -> Column:
-    """Start of the hour/day/week(Monday)/month/quarter/year around ``time`` in ``tz``."""
+    """Start of the hour/day/week(Monday)/month/quarter/year around ``time`` in ``tz``.
+
+    An hour begins where its local minutes do; taken off the instant, not off the wall clock, on which a repeated hour
+    reads the same twice.
+    """
+    if unit == "hour":
+        return F.timestamp_micros(F.unix_micros(time) - F.pmod(F.unix_micros(to_local(time, tz)), F.lit(3_600_000_000)))
     return from_local(F.date_trunc(unit, to_local(time, tz)), tz)
 
 

@@ -1,4 +1,4 @@
-"""Row numbers, tiles, top-k with remainder, paging and delivery limits, none of them in one task."""
+"""Row numbers, tiles, top-k with remainder, paging and delivery in parts, none of them in one task."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 from pagetally.functions import fixed_values as fixed
 from pagetally.operators.materialise import materialise
 
-# A limited set of rows is sent to all executors up to this many rows.
-BROADCAST_ROWS = 10_000
-
 _POSITION_BITS = 33
 _POSITION_MASK = (1 << _POSITION_BITS) - 1
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table known to have at most ``rows`` rows; leave a larger one to the planner."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def global_row_number(df: DataFrame, *order: Column | str, name: str = "rownum") -> DataFrame:
     """Number all rows from 1 in a total order. ``order`` must identify rows, so that ranges balance.
 
@@ -32,13 +24,13 @@ def global_row_number(df: DataFrame, *order: Column | str, name: str = "rownum")
     located = fixed_rows.withColumn("_at", F.monotonically_increasing_id()).withColumn(
         "_part", F.shiftright("_at", _POSITION_BITS)
     )
-    # one row per partition
+    # one row of three numbers per partition
     counts = located.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
     position = F.col("_at").bitwiseAND(F.lit(_POSITION_MASK))
     return (
-        located.join(small(starts, parts), "_part")
+        located.join(F.broadcast(starts), "_part")
         .withColumn(name, F.col("_start") + position + 1)
         .drop("_at", "_part", "_start")
     )
@@ -64,7 +56,7 @@ def top(df: DataFrame, n: int, measure: str, *keys: str) -> DataFrame:
 def label_top(df: DataFrame, n: int, measure: str, key: str, name: str = "label", rest: str = "Other") -> DataFrame:
     """Add the key as label for the n largest rows, ``rest`` for all others."""
     best = top(df, n, measure, key).select(F.col(key).alias("_best"), F.lit(True).alias("_in"))
-    tagged = df.join(small(best, n), F.col(key).eqNullSafe(F.col("_best")), "left")
+    tagged = df.join(best, F.col(key).eqNullSafe(F.col("_best")), "left")
     return tagged.withColumn(name, F.when(F.col("_in"), F.col(key)).otherwise(F.lit(rest))).drop("_best", "_in")
 
 
@@ -95,15 +87,21 @@ def page_after(
     return page.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + done).cast("bigint"))
 
 
-def fit_delivery(df: DataFrame, order: list[Column], max_bytes: float = fixed.DELIVERY_BYTES) -> tuple[DataFrame, bool]:
-    """Cut an ordered result to about ``max_bytes`` and tell whether it was cut.
+def delivery_parts(df: DataFrame, *order: Column | str, max_bytes: int = int(fixed.DELIVERY_BYTES)) -> DataFrame:
+    """All rows, numbered by ``part`` from 0 so that a part is some ``max_bytes`` as JSON in the given order.
 
-    The row size is that of the first ten rows as JSON; a result of fewer rows is never cut.
+    A row belongs to the part in which its first byte lies; a part may run over by less than a row.
+    ``order`` must identify rows. Sizes are summed within ranges of rows and over one total per range.
     """
-    ordered = df.orderBy(*order)
-    sizes = ordered.limit(10).select(F.length(F.to_json(F.struct("*"))).alias("n"))
-    rows, size = sizes.agg(F.count("n"), F.avg("n")).first()
-    if rows < 10:
-        return ordered, False
-    keep = int(max_bytes // size) + 1
-    return ordered.limit(keep), bool(ordered.offset(keep).limit(1).count())
+    session = df.sparkSession
+    ranges = int(session.conf.get("spark.sql.shuffle.partitions"))
+    sized = df.withColumn("_size", F.length(F.to_json(F.struct("*"))))
+    laid = materialise(sized.repartitionByRange(ranges, *order).sortWithinPartitions(*order))
+    located = laid.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", _POSITION_BITS))
+    totals = located.groupBy("_range").agg(F.sum("_size").alias("_sum"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = located.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    part = F.floor((F.col("_start") + F.col("_before")) / F.lit(max_bytes)).cast("bigint")
+    return before.join(F.broadcast(starts), "_range").select(*df.columns, part.alias("part"))

@@ -4,37 +4,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetally.functions.metrics import ACCURACY
+from pagetally.operators.materialise import materialise
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
     """Smallest value whose cumulative share reaches ``share``, per key.
 
-    The quantile sketch brackets the answer; only the values inside the bracket (a few
-    ten-thousandths of a group) are ranked, on top of the count of everything below it.
+    Copies of a value are counted first. The counts are range-partitioned by key and value, so that a
+    group may go over any number of partitions; they are summed within partitions, and one total per
+    key and partition says how many come before.
     """
-    measured = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    slack = 3.0 / ACCURACY
-    bracket = measured.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_total"),
-        F.percentile_approx("_v", max(share - slack, 0.0), ACCURACY).alias("_lo"),
-        F.percentile_approx("_v", min(share + slack, 1.0), ACCURACY).alias("_hi"),
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # written, because sampled range bounds may differ between two evaluations
+    laid = materialise(counts.repartitionByRange(*keys, "_v")).withColumn("_part", F.spark_partition_id())
+    totals = laid.groupBy("_part", *keys).agg(F.sum("_n").alias("_in"))
+    group = Window.partitionBy(*keys)
+    totals = totals.select(
+        F.col("_part").alias("_of"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.coalesce(F.sum("_in").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_in").over(group).alias("_total"),
     )
-    # copies of a value collapse to one row; everything below the bracket collapses to one row
-    counts = measured.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-        near = counts.alias("c").join(bracket.alias("b"), same)
-    else:
-        whole = bracket.select(F.struct("*")).scalar()
-        near = counts.withColumn("_b", whole).select("_v", "_n", "_b.*")
-    near = near.filter("_v <= _hi").select(
-        *[F.col(f"c.{k}").alias(k) for k in keys],
-        F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"), "_n", "_total",
-    )
-    ranked = near.groupBy(*keys, "_v", "_total").agg(F.sum("_n").alias("_n"))
-    upto = F.sum("_n").over(
-        Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    reached = ranked.withColumn("_upto", upto).filter(F.col("_upto") >= F.ceil(F.col("_total") * share))
+    same = F.col("_part") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy("_part", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = laid.withColumn("_upto", F.sum("_n").over(inside)).join(totals, same)
+    reached = upto.filter(F.col("_before") + F.col("_upto") >= F.ceil(F.col("_total") * share))
     return reached.groupBy(*keys).agg(F.min("_v").alias(name))

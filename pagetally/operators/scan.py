@@ -33,6 +33,15 @@ def _filtered(raw: DataFrame, p: ReportParams, span: TimeRange, *more) -> DataFr
     return rows if predicate is None else rows.filter(predicate)
 
 
+def _readable(rows: DataFrame, p: ReportParams, keys: DataFrame | None) -> DataFrame:
+    """What ``p.domainkey`` opens. To read without keys is the choice of a caller that names no secret."""
+    if keys is not None:
+        return restrict_to_key(rows, keys, p)
+    if p.domainkey:
+        raise ValueError("a domainkey needs the table of keys")
+    return rows
+
+
 def events(
     raw: DataFrame,
     p: ReportParams,
@@ -46,17 +55,13 @@ def events(
         filters.valid_weight(F.col("weight")),
         filters.valid_hostname(F.col("hostname")),
     )
-    if keys is not None:
-        rows = restrict_to_key(rows, keys, p)
-    return rows.select(*EVENT_COLUMNS)
+    return _readable(rows, p, keys).select(*EVENT_COLUMNS)
 
 
 def events_v3(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> DataFrame:
     """Older scan: closed upper bound, no quality filters, no TTFB."""
     rows = _filtered(raw, p, time_range(p, closed=True))
-    if keys is not None:
-        rows = restrict_to_key(rows, keys, p)
-    return rows.select(*[c for c in EVENT_COLUMNS if c != "ttfb"])
+    return _readable(rows, p, keys).select(*[c for c in EVENT_COLUMNS if c != "ttfb"])
 
 
 def cluster_events(raw: DataFrame, p: ReportParams, generation: str = "-") -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetally.functions.timeframe import TimeRange, as_instant, from_local, local_instant, to_local
+from pagetally.functions.timeframe import TimeRange, as_instant, from_local, local_instant, to_local, truncate
 from pagetally.params import ReportParams
 
 # days -> unit of a slot, and the step between slots; 24 stands for hourly slots
@@ -22,8 +22,8 @@ def slots(spark: SparkSession, span: TimeRange, unit: str, tz: str) -> DataFrame
     """Start instants of all slots that overlap a time range; steps follow the local calendar."""
     last = as_instant(span.hi - timedelta(microseconds=1))
     if unit == "hour":
-        # hours are steps of real time, so that a repeated or skipped local hour stays right
-        first, end = (F.date_trunc("hour", t) for t in (as_instant(span.lo), last))
+        # hours are steps of real time from a local hour on, so that a repeated or skipped local hour stays right
+        first, end = (truncate(t, "hour", tz) for t in (as_instant(span.lo), last))
         step = F.explode(F.sequence(first, end, F.expr(STEPS[unit])))
         return spark.range(1).select(step.alias("slot"))
     first, end = (F.date_trunc(unit, to_local(t, tz)) for t in (as_instant(span.lo), last))

@@ -85,7 +85,7 @@ def dashboard(
     repo: str = "-",
     rising: bool = False,
 ) -> DataFrame:
-    """``limit`` pages with most views (or largest growth when ``rising``), the others as "Other"."""
+    """``limit`` pages with most views, the others as "Other"; with ``rising`` every page, by growth."""
     span = time_range(p)
     both = TimeRange(span.before().lo, span.hi)
     urls = materialise(_per_url(_per_view(events(raw, p, keys, both), span, p, owner, repo)))

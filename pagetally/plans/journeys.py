@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagetally.functions import metrics
 from pagetally.functions.timeframe import iso_text
 from pagetally.operators.materialise import materialise
-from pagetally.operators.ordering import page_after, small, top
+from pagetally.operators.ordering import page_after, top
 from pagetally.operators.percentile import exact_quantile
 from pagetally.operators.popularity import estimate_views
 from pagetally.operators.scan import checkpoints, events
@@ -119,7 +119,7 @@ def forms(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> Dat
     def whole(vital, value):
         return F.round(value, 3) if vital == "cls" else metrics.to_int(value)
 
-    shown = by_id.join(small(best.select("url"), p.limit), "url", "left_semi")
+    shown = by_id.join(best.select("url"), "url", "left_semi")
     by_weight = shown.groupBy("url", "weight").agg(
         *[whole(v, metrics.p75(F.col(v))).alias(v) for v in vitals]
     )
@@ -175,7 +175,7 @@ def bundles(
     detail = ev.select("id", "url", "time", name.alias("checkpoint"), "source", "target", value.alias("value"))
     # copies of an event collapse to a count before the shuffle and are given back as parts
     event = ["time", "checkpoint", "source", "target", "value"]
-    wanted = detail.join(small(page.select("id", "url", "size"), p.limit), ["id", "url"])
+    wanted = detail.join(page.select("id", "url", "size"), ["id", "url"])
     counted = wanted.groupBy("id", "url", "size", *event).agg(F.count(F.lit(1)).alias("copies"))
     spread = F.pmod(F.xxhash64(*event), F.ceil(F.col("size") / (bundle_events / 2)).cast("bigint"))
     long = F.col("size") > bundle_events
@@ -187,6 +187,6 @@ def bundles(
     gathered = cut.groupBy("id", "url", "_spread", "_run").agg(F.sort_array(F.collect_list(keyed)).alias("sorted"))
     listed = gathered.select("id", "url", "_spread", "_run", F.flatten("sorted.rows").alias("events"))
     part = F.shiftleft(F.col("_spread").cast("bigint"), 32) + F.col("_run")
-    return listed.withColumn("part", part).join(small(page, p.limit), ["id", "url"]).orderBy("rownum", "part").select(
+    return listed.withColumn("part", part).join(page, ["id", "url"]).orderBy("rownum", "part").select(
         "id", "url", iso_text(F.col("start")).alias("time"), "weight", "user_agent", "events", "rownum", "part"
     )

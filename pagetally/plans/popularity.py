@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagetally.functions import filters, metrics
 from pagetally.operators.materialise import materialise
-from pagetally.operators.ordering import small, top
+from pagetally.operators.ordering import top
 from pagetally.operators.popularity import estimate_views
 from pagetally.operators.scan import checkpoints, events
 from pagetally.params import ReportParams
@@ -125,11 +125,11 @@ def not_found(
     )
     # lists are built for the reported pages only
     best = top(table, p.limit, "views", "url")
-    shown = by_source.select("url", "source").join(small(best.select("url", "source_count"), p.limit), "url")
+    shown = by_source.select("url", "source").join(best.select("url", "source_count"), "url")
     parts = F.ceil(F.col("source_count") / (listed_sources / 2)).cast("bigint")
     part = F.when(F.col("source_count") > listed_sources, F.pmod(F.xxhash64("source"), parts)).otherwise(0)
     lists = shown.groupBy("url", part.alias("part")).agg(F.sort_array(F.collect_list("source")).alias("all_sources"))
-    return lists.join(small(best, p.limit), "url").orderBy(F.col("views").desc(), "url", "part").select(
+    return lists.join(best, "url").orderBy(F.col("views").desc(), "url", "part").select(
         "url", "top_source", "all_sources", "source_count", "views", "part"
     )
 

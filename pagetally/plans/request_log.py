@@ -13,8 +13,10 @@ from pagetally.operators.scan import shards
 from pagetally.params import ReportParams
 
 
-def dev_urls(log: DataFrame, p: ReportParams, owner: str, repo: str, branch: str = "main") -> DataFrame:
-    """The five pages of a branch that were asked for most this month."""
+def dev_urls(
+    log: DataFrame, p: ReportParams, owner: str, repo: str, branch: str = "main", limit: int = 5
+) -> DataFrame:
+    """The ``limit`` pages of a branch that were asked for most this month."""
     month = p.as_of.strftime("%Y%m")
     rows = shards(log, month, month).filter(
         (F.col("req_http_x_owner") == owner) & (F.col("req_http_x_repo") == repo) & (F.col("req_http_x_ref") == branch)
@@ -23,7 +25,7 @@ def dev_urls(log: DataFrame, p: ReportParams, owner: str, repo: str, branch: str
     )
     group = ["req_http_x_owner", "req_http_x_repo", "req_http_x_ref", "req_url"]
     table = rows.groupBy(*group).agg(F.count("time_start_usec").alias("requests"))
-    return top(table, 5, "requests", "req_url")
+    return top(table, limit, "requests", "req_url")
 
 
 def guess_hostname(

@@ -91,7 +91,7 @@ def experiments(
         "pooled_sample_proportion", "pooled_standard_error", "test",
         metrics.normal_cdf(-F.abs("test")).alias("p_value"),
         metrics.to_int(F.try_divide(days * threshold, reached) - days).alias("remaining_runtime"),
-    ).orderBy("experiment", "variant").limit(100)
+    ).orderBy("experiment", "variant")
 
 
 def intervals(

@@ -75,11 +75,12 @@ def revoked(keys: DataFrame, p: ReportParams, secret: str, grace_days: int = 1)
 
 def rotate_keys(spark: SparkSession, path: str, p: ReportParams, new_key: str = "-", **options) -> DataFrame:
     """Run ``rotated`` on the key table if the caller may, and report one status row."""
-    keys = snapshots.read(spark, path, KEY_SCHEMA)
+    base = snapshots.newest(spark, path)
+    keys = snapshots.read(spark, path, KEY_SCHEMA, base)
     key = None
     if may_change(keys, p.domainkey or "", p):
         key = new_key if new_key != "-" else str(uuid.uuid4())
-        keys = snapshots.write(rotated(keys, p, key, **options), path)
+        keys = snapshots.write(rotated(keys, p, key, **options), path, base)
     url = "" if p.url == "-" else p.url
     mine = live_keys(keys, p.domainkey or "", p).filter(F.col("hostname_prefix").isin("", p.url))
     expiry = options.get("expiry", "-")
@@ -89,11 +90,12 @@ def rotate_keys(spark: SparkSession, path: str, p: ReportParams, new_key: str =
 
 def revoke_key(spark: SparkSession, path: str, p: ReportParams, secret: str, grace_days: int = 1) -> DataFrame:
     """Run ``revoked`` on the key table if the caller may, and report one status row."""
-    keys = snapshots.read(spark, path, KEY_SCHEMA)
+    base = snapshots.newest(spark, path)
+    keys = snapshots.read(spark, path, KEY_SCHEMA, base)
     key = None
     if may_change(keys, p.domainkey or "", p):
         key = secret
-        keys = snapshots.write(revoked(keys, p, secret, grace_days), path)
+        keys = snapshots.write(revoked(keys, p, secret, grace_days), path, base)
     url = "" if p.url == "-" else p.url
     ended = keys.filter(
         (F.col("key_bytes") == F.sha2(F.lit(key), 512)) & F.col("revoke_date").isNotNull()
@@ -104,8 +106,11 @@ def revoke_key(spark: SparkSession, path: str, p: ReportParams, secret: str, gra
 
 
 def upserted(info: DataFrame, changes: DataFrame) -> DataFrame:
-    """Domain table with the organisation id of each changed domain set or added."""
-    changes = changes.select("domain", F.col("ims_org_id").alias("_new"), F.lit(True).alias("_changed"))
+    """Domain table with the organisation id of each changed domain set or added; two changes for one domain are refused."""
+    twice = F.raise_error(F.concat(F.lit("two changes for the domain "), F.col("domain")))
+    changes = changes.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min("ims_org_id").alias("_new")).select(
+        "domain", F.when(F.col("n") == 1, F.col("_new")).otherwise(twice).alias("_new"), F.lit(True).alias("_changed")
+    )
     merged = info.join(changes, "domain", "full")
     org = F.when(F.col("_changed"), F.col("_new")).otherwise(F.col("ims_org_id"))
     return merged.select("domain", org.alias("ims_org_id"))
@@ -115,10 +120,11 @@ def update_domain_info(
     spark: SparkSession, path: str, keys: DataFrame, p: ReportParams, changes: DataFrame
 ) -> DataFrame:
     """Write ``upserted`` as the new snapshot; only for a global read-write key."""
-    info = snapshots.read(spark, path, DOMAIN_SCHEMA)
+    base = snapshots.newest(spark, path)
+    info = snapshots.read(spark, path, DOMAIN_SCHEMA, base)
     if not may_change(keys, p.domainkey or "", p, only_global=True):
         return info
-    return snapshots.write(upserted(info, changes), path)
+    return snapshots.write(upserted(info, changes), path, base)
 
 
 def add_audits(spark: SparkSession, path: str, keys: DataFrame, p: ReportParams, audits: DataFrame) -> DataFrame:

@@ -1,50 +1,89 @@
-"""Tables that jobs replace as a whole: numbered snapshot folders in a shared folder.
+"""Tables that jobs replace as a whole: snapshots in a shared folder.
 
-A snapshot counts once Spark has put its ``_SUCCESS`` marker, so a lost job leaves the table as it
-was, and readers keep the snapshot they began with. Two jobs at once: the later one fails.
+A job writes its rows to a folder of their own and then publishes them by creating the marker of the next number, which
+only one job can. A lost job leaves a folder that nobody points to; a job whose base is no longer the newest snapshot
+fails and has to be run again on the new one. Readers keep the snapshot they began with.
 """
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 PREFIX = "snapshot="
+#: Snapshots that stay; older ones are removed.
+KEPT = 10
 
 
-def _committed(spark: SparkSession, path: str) -> list[int]:
+def _path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made = jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _published(spark: SparkSession, path: str) -> list[int]:
+    root, files = _path(spark, path)
     if not files.exists(root):
         return []
-    names = [(status.getPath(), status.getPath().getName()) for status in files.listStatus(root)]
-    return sorted(
-        int(name[len(PREFIX):])
-        for folder, name in names
-        if name.startswith(PREFIX) and files.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"))
-    )
+    names = [status.getPath().getName() for status in files.listStatus(root)]
+    return sorted(int(name[len(PREFIX):]) for name in names if name.startswith(PREFIX))
+
+
+def _folder(spark: SparkSession, path: str, number: int) -> str:
+    """Where the rows of a snapshot are, as its marker says."""
+    marker, files = _path(spark, f"{path}/{PREFIX}{number:08d}")
+    stream = files.open(marker)
+    try:
+        return f"{path}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    return bool(_committed(spark, path))
+    return bool(_published(spark, path))
 
 
-def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The newest snapshot."""
-    found = _committed(spark, path)
+def newest(spark: SparkSession, path: str) -> int:
+    found = _published(spark, path)
     if not found:
         raise FileNotFoundError(f"no snapshot in {path}")
-    return spark.read.schema(schema).parquet(f"{path}/{PREFIX}{found[-1]:08d}")
+    return found[-1]
 
 
-def write(df: DataFrame, path: str) -> DataFrame:
-    """Make ``df`` the newest snapshot and return it as read back."""
+def read(spark: SparkSession, path: str, schema: T.StructType, number: int | None = None) -> DataFrame:
+    """A snapshot, the newest by default."""
+    return spark.read.schema(schema).parquet(_folder(spark, path, newest(spark, path) if number is None else number))
+
+
+def write(df: DataFrame, path: str, base: int | None = None) -> DataFrame:
+    """Make ``df`` the snapshot after ``base``, the one it was made from, and return it as read back.
+
+    Without a base it becomes the first. Where another job has published that number, nothing changes and this raises.
+    """
     spark = df.sparkSession
-    found = _committed(spark, path)
-    folder = f"{path}/{PREFIX}{(found[-1] + 1 if found else 0):08d}"
+    name = f"rows-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    number = 0 if base is None else base + 1
+    marker, files = _path(spark, f"{path}/{PREFIX}{number:08d}")
+    if number <= max(_published(spark, path), default=-1):
+        raise RuntimeError(f"another job wrote {path}; run again")
     try:
-        df.write.mode("errorifexists").parquet(folder)
-    except AnalysisException as error:
-        raise RuntimeError(f"another job wrote {folder}; run again") from error
-    return spark.read.schema(df.schema).parquet(folder)
+        # fails where the file is there: of two jobs only one gets the number
+        stream = files.create(marker, False)
+    except Py4JJavaError as error:
+        raise RuntimeError(f"another job wrote {path}; run again") from error
+    stream.write(bytearray(name.encode()))
+    stream.close()
+    _expire(spark, path)
+    return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+def _expire(spark: SparkSession, path: str) -> None:
+    """Remove all but the newest ``KEPT`` snapshots."""
+    for number in _published(spark, path)[:-KEPT]:
+        folder, files = _path(spark, _folder(spark, path, number))
+        marker, _ = _path(spark, f"{path}/{PREFIX}{number:08d}")
+        files.delete(marker, False)
+        files.delete(folder, True)

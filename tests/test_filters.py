@@ -3,8 +3,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from pagetally.functions import filters
+from pagetally.functions import filters, sql
 from pagetally.functions import fixed_values as fixed
+from pagetally.operators import scan
+from pagetally.params import ReportParams
 
 
 def kept(spark, predicate, *names):
@@ -64,3 +66,20 @@ def test_sql_functions_agree(spark, make_events):
             "SELECT id FROM rum_events(:w, TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', 'all')", args={"w": wanted}
         )
         assert {r.id for r in listed.collect()} == {r.id for r in scan.events(rows, p.replace(url=wanted)).collect()}, wanted
+
+
+@pytest.mark.parametrize("wanted", ["-", "a.com/p", "a.com/p$", "a.com/p?", "a.com/p?$", "a.com/p$?", "localhost:3000/x", "localhost:3000/x$", "localhost:3000/x?"])
+def test_both_forms_of_the_url_filter_agree(spark, make_events, wanted):
+    make_events({"time": "2024-01-05T00:00:00"}).createOrReplaceTempView("few_events")
+    sql.register(spark, "few_events")
+    pages = ["https://a.com/p", "https://a.com/p?", "https://a.com/p?q=1", "https://a.com/p$", "https://a.com/pq", "http://a.com/p", "http://localhost:3000/x", "https://localhost:3000/x?y", "http://localhost:3000/xy"]
+    rows = spark.createDataFrame([(x,) for x in pages], "url string")
+    condition = filters.url_matches(F.col("url"), wanted)
+    made = rows.withColumn("a", F.lit(True) if condition is None else condition).withColumn("b", F.expr(f"url_matches(url, '{wanted}')"))
+    assert [r.a for r in made.collect()] == [r.b for r in made.collect()]
+
+
+def test_a_secret_needs_the_key_table(make_events):
+    rows = make_events({"time": "2024-01-05T00:00:00"})
+    with pytest.raises(ValueError, match="table of keys"):
+        scan.events(rows, ReportParams(domainkey="wrong"))

@@ -99,12 +99,13 @@ def test_paging_covers_all_rows_once(spark):
     assert ordering.page_after(rows, ["k", "id"], "nobody", 4).count() == 0
 
 
-def test_delivery_is_cut_by_size(spark):
+def test_delivery_in_parts_holds_all_rows(spark):
     rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 91, "0").alias("v"))
     size = len('{"v":""}') + 91
-    cut, truncated = ordering.fit_delivery(rows, [F.col("v")], max_bytes=size * 50)
-    assert truncated and cut.count() == 51
-    assert ordering.fit_delivery(rows.limit(9), [F.col("v")], max_bytes=1)[1] is False
+    made = ordering.delivery_parts(rows, "v", max_bytes=size * 50).collect()
+    assert sorted((int(r.v), r.part) for r in made) == [(i, i // 50) for i in range(1000)]
+    few = ordering.delivery_parts(rows.limit(3), "v", max_bytes=1).collect()
+    assert len(few) == 3 and len({r.part for r in few}) == 3
 
 
 def test_margins_and_statistics(spark):

@@ -63,12 +63,39 @@ def test_revoking_ends_one_key(spark, keys):
     assert table_jobs.revoke_key(spark, keys, P.replace(url="a.com", domainkey="reader"), "a").first().status == "failure"
 
 
-def test_uncommitted_snapshots_do_not_count(spark, keys):
-    Path(keys, "snapshot=00000001").mkdir()
-    assert len(snapshots.read(spark, keys, files.KEY_SCHEMA).collect()) == 4
-    table = snapshots.read(spark, keys, files.KEY_SCHEMA)
+def test_a_lost_job_blocks_nobody(spark, keys):
+    Path(keys, "rows-of-a-lost-job").mkdir()
+    base = snapshots.newest(spark, keys)
+    table = snapshots.read(spark, keys, files.KEY_SCHEMA, base)
+    assert table.count() == 4
+    snapshots.write(table.limit(3), keys, base)
+    assert snapshots.newest(spark, keys) == base + 1
+    assert snapshots.read(spark, keys, files.KEY_SCHEMA).count() == 3
+
+
+def test_of_two_jobs_on_one_base_the_later_fails(spark, keys):
+    base = snapshots.newest(spark, keys)
+    first, second = (snapshots.read(spark, keys, files.KEY_SCHEMA, base) for _ in range(2))
+    snapshots.write(first.limit(2), keys, base)
     with pytest.raises(RuntimeError, match="another job"):
-        snapshots.write(table, keys)
+        snapshots.write(second.limit(1), keys, base)
+    assert snapshots.read(spark, keys, files.KEY_SCHEMA).count() == 2
+
+
+def test_old_snapshots_go(spark, keys, monkeypatch):
+    monkeypatch.setattr(snapshots, "KEPT", 2)
+    for _ in range(4):
+        base = snapshots.newest(spark, keys)
+        snapshots.write(snapshots.read(spark, keys, files.KEY_SCHEMA, base), keys, base)
+    assert snapshots._published(spark, keys) == [3, 4]
+    assert len(list(Path(keys).glob("rows-*"))) == 2
+
+
+def test_two_changes_for_one_domain_are_refused(spark):
+    schema = table_jobs.DOMAIN_SCHEMA
+    info, changes = spark.createDataFrame([("a.com", "1")], schema), spark.createDataFrame([("a.com", "2"), ("a.com", "3")], schema)
+    with pytest.raises(Exception, match="two changes for the domain a.com"):
+        table_jobs.upserted(info, changes).collect()
 
 
 def test_upsert_updates_and_adds(spark, keys, tmp_path):
@@ -101,7 +128,7 @@ def test_events_are_read_from_both_collectors_and_pruned(spark, make_events, tmp
     files.write_events(make_events({"id": "1", "time": "2024-01-02"}, {"id": "2", "time": "2024-01-20"}), one)
     files.write_events(make_events({"id": "3", "time": "2024-01-20"}).drop("generation"), two)
     raw = files.read_events(spark, one, two)
-    ev = scan.events(raw, P.replace(interval=14))
+    ev = scan.events(raw, P.replace(interval=14, domainkey=None))
     assert sorted(r.id for r in ev.collect()) == ["2", "3"]
     plan = ev._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters: [IsNotNull(time)" in plan

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
-from datetime import datetime
+import zoneinfo
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +68,18 @@ def test_parameters_from_text():
     assert (p.limit, p.url, p.as_of) == (5, "a.com", datetime(2024, 1, 1))
     with pytest.raises(ValueError, match="more than once"):
         ReportParams.from_mapping({"url": ["a.com", "b.com"]})
+
+
+@pytest.mark.parametrize(("zone", "begin", "end"), [
+    ("Asia/Kolkata", "2024-01-01T00:00:00", "2024-01-02T00:00:00"), ("Europe/Berlin", "2024-10-26T22:00:00", "2024-10-27T23:00:00"),
+    ("Europe/Berlin", "2024-03-30T23:00:00", "2024-03-31T22:00:00"), ("UTC", "2024-01-01T00:00:00", "2024-01-01T05:00:00"),
+])
+def test_hours_of_any_zone_and_over_clock_changes(spark, zone, begin, end):
+    lo, hi = (datetime.fromisoformat(x) for x in (begin, end))
+    made = [r.slot for r in slots(spark, TimeRange(lo, hi), "hour", zone).collect()]
+    times = [lo + timedelta(minutes=13 * i) for i in range(int((hi - lo) / timedelta(minutes=13)))]
+    rows = spark.createDataFrame([(x.replace(tzinfo=timezone.utc),) for x in times], "time timestamp")
+    found = {r.h for r in rows.select(truncate(F.col("time"), "hour", zone).alias("h")).collect()}
+    assert found == set(made) and len(made) == len(found)
+    local = zoneinfo.ZoneInfo(zone)
+    assert {x.replace(tzinfo=timezone.utc).astimezone(local).minute for x in made} == {0}
