@@ -218,6 +218,8 @@ def near_links(reps: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     least = percent / 100 - MARGIN
     banded = reps.select("doc_id", "key", "n", "signature", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
+    # written before it is joined, as the pivots below: Spark can then split a hot bucket among tasks
+    shared = written(shared, "shared")
     met = written(banded.join(shared, ["band", "bucket"]), "buckets")
     sets = written(full_sets(rows.join(met.select("doc_id", "key").distinct().hint("shuffle_hash"), ["doc_id", "key"]), size).dropDuplicates(["doc_id", "key"]), "sets")
 
@@ -225,6 +227,7 @@ def near_links(reps: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     fame = met.groupBy("doc_id", "key").agg(F.sum("members").alias("fame"))
     famed = met.join(fame, ["doc_id", "key"])
     pivots = famed.groupBy("band", "bucket").agg(F.max(F.struct("fame", "doc_id", "key", "n", "signature")).alias("p"))
+    pivots = written(pivots, "pivots")
     pairs = (
         met.join(pivots, ["band", "bucket"]).filter("doc_id <> p.doc_id or key <> p.key")
         # sizes alone rule out what differs too much
@@ -247,6 +250,7 @@ def near_links(reps: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     hashes = [F.sum(F.xxhash64(F.lit(i), "doc_id", "key").cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)]
     several = labelled.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.first("members").alias("members"), *hashes).filter("a <> b")
     chosen = several.groupBy("members", "h0", "h1").agg(F.min(F.struct("band", "bucket")).alias("c")).select("c.*")
+    chosen = written(chosen, "chosen")
     labelled = written(labelled.join(chosen, ["band", "bucket"]).select("band", "bucket", "doc_id", "key", "n", "signature", "component"), "open")
     rest = written(block_links(in_blocks(labelled, sets), percent), "links")
     return components(links.union(rest)) if not rest.isEmpty() else joined
@@ -293,7 +297,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     classes = written(full.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc_id", "key", "bands", "signature")).alias("first")).select("set_a", "set_b", "n", "first.*"), "classes")
     joined = near_links(classes, rows.filter("doc_id is not null"), size, percent)
     names = classes.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_a", "set_b", "n", F.coalesce("component", "doc_id").alias("component_id"))
-    result = made.join(names, ["set_a", "set_b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).alias("component_id"))
+    result = made.join(names, ["set_a", "set_b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     result = joined_by_id(result)
     own = F.coalesce("component_id", "doc_id")
     return result.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -82,13 +82,14 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """
     seeds = written(find_seeds(rows.filter("doc_id is not null"), length, gram), "seeds")
     # anchors of a single document end here
-    met = seeds.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
+    # small tables are written before they are joined: Spark can then split a hot anchor among tasks
+    met = written(seeds.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"), "met")
     seeds = written(seeds.join(met, "anchor", "left_semi"), "met-seeds")
 
     # equal runs are one class, and its first occurrence stands for it
     classes = seeds.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "key", "begin", "n")).alias("first"), F.max("doc_id").alias("last_id"))
     classes = written(classes.select("anchor", "run", "first.*", "last_id"), "classes")
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("anchor")
+    several = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("anchor"), "several")
     opened = (
         classes.join(several, "anchor", "left_semi")
         .groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "run", "begin", "n")).alias("opened"))
@@ -96,12 +97,14 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     # the lists of a document are smaller than its text
     windows = written(open_windows(rows.join(opened.hint("shuffle_hash"), ["doc_id", "key"]), length), "windows")
     firsts = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor", "window", F.col("a").alias("first_id"))
+    firsts = written(firsts, "firsts")
     repeated = (
         windows.join(firsts, ["anchor", "window"]).filter("first_id < doc_id")
         .groupBy("anchor", "run").agg(F.collect_set("place").alias("places"))
     )
     # in the first document of a class only windows of other classes count, in later ones all
     judged = classes.join(repeated, ["anchor", "run"], "left").filter("places is not null or last_id > doc_id").select("anchor", "run", F.col("doc_id").alias("first_id"), "places")
+    judged = written(judged, "judged")
     found = seeds.join(judged, ["anchor", "run"]).select(
         "doc_id", "key",
         F.when(F.col("doc_id") > F.col("first_id"), F.array(F.struct(F.col("begin").alias("begin"), (F.col("begin") + F.col("n") + (length - 1)).alias("end"))))

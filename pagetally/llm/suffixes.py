@@ -75,7 +75,8 @@ class Family:
 
     def meeting(self) -> DataFrame:
         """The entries of all suffixes that occur more than once."""
-        met = reduce(DataFrame.union, self.met).distinct()
+        # written before it is joined: Spark can then split a hot suffix among tasks
+        met = written(reduce(DataFrame.union, self.met).distinct(), "met")
         return written(reduce(DataFrame.union, self.entries).join(met, "suffix", "left_semi"), "met-suffixes")
 
 
@@ -161,6 +162,7 @@ def repeated_bytes(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     classes = entries.groupBy("suffix", "run").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "key", "begin", "n")).alias("first"))
     classes = written(classes.select("suffix", "run", "times", "first.*"), "classes")
     several = classes.groupBy("suffix").agg(F.count(F.lit(1)).alias("several")).filter("several > 1")
+    several = written(several, "several")
     opened = (
         classes.join(several, "suffix").groupBy("doc_id", "key")
         .agg(F.collect_list(F.struct("suffix", "run", "begin", "n", "several")).alias("opened"))
@@ -171,6 +173,7 @@ def repeated_bytes(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     around = written(surroundings(rows.join(opened.hint("shuffle_hash"), same), length).dropDuplicates(["suffix", "run"]), "surroundings")
     marks = written(extended(around, length), "marks")
     judged = classes.join(marks, ["suffix", "run"], "left").filter("places is not null or times > 1").select("suffix", "run", "times", "places")
+    judged = written(judged, "judged")
     found = entries.join(judged, ["suffix", "run"]).select(
         "doc_id", "key",
         F.when(F.col("times") > 1, F.array(F.struct(F.col("begin").alias("begin"), (F.col("begin") + F.col("n") + (length - 1)).alias("end"))))
