@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetally.operators.access import key_digest
-from pagetally.operators.materialise import ensure_checkpoint_dir
+from pagetally.operators.materialise import shared_folder
 
 # ts is stored without a zone; reading it as an instant keeps time filters in the file scan
 EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -143,11 +143,7 @@ def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for a job's tables, below the folder that the cluster shares."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        ensure_checkpoint_dir(spark)
-        shared = spark.sparkContext.getCheckpointDir()
-    return f"{shared}/job-{uuid.uuid4()}"
+    return f"{shared_folder(spark)}/job-{uuid.uuid4()}"
 
 
 def sql_views() -> str:

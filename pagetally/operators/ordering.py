@@ -20,8 +20,9 @@ def global_row_number(df: DataFrame, *order: Column | str, name: str = "rownum")
     """
     session = df.sparkSession
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    fixed_rows = materialise(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    located = fixed_rows.withColumn("_at", F.monotonically_increasing_id()).withColumn(
+    laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # partition and position in it are written along: files may be split or joined when they are read
+    located = materialise(laid.withColumn("_at", F.monotonically_increasing_id())).withColumn(
         "_part", F.shiftright("_at", _POSITION_BITS)
     )
     # one row of three numbers per partition
@@ -96,8 +97,10 @@ def delivery_parts(df: DataFrame, *order: Column | str, max_bytes: int = int(fix
     session = df.sparkSession
     ranges = int(session.conf.get("spark.sql.shuffle.partitions"))
     sized = df.withColumn("_size", F.length(F.to_json(F.struct("*"))))
-    laid = materialise(sized.repartitionByRange(ranges, *order).sortWithinPartitions(*order))
-    located = laid.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", _POSITION_BITS))
+    laid = sized.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    located = materialise(laid.withColumn("_at", F.monotonically_increasing_id())).withColumn(
+        "_range", F.shiftright("_at", _POSITION_BITS)
+    )
     totals = located.groupBy("_range").agg(F.sum("_size").alias("_sum"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
@@ -105,3 +108,28 @@ def delivery_parts(df: DataFrame, *order: Column | str, max_bytes: int = int(fix
     before = located.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     part = F.floor((F.col("_start") + F.col("_before")) / F.lit(max_bytes)).cast("bigint")
     return before.join(F.broadcast(starts), "_range").select(*df.columns, part.alias("part"))
+
+
+def running(
+    df: DataFrame, keys: list[str], order: list[str], measure: str, before: str = "_before", total: str = "_total"
+) -> DataFrame:
+    """Add the sum of ``measure`` over the rows of equal ``keys`` before each row in ``order``, and over all of them.
+
+    ``keys`` and ``order`` together must identify rows. Rows are dealt by ranges of both, so that a key may go over any
+    number of tasks; they are summed within ranges, and one total per key and range says how much comes before.
+    """
+    # written, because sampled range bounds may differ between two evaluations
+    laid = materialise(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    totals = laid.groupBy("_part", *keys).agg(F.sum(measure).alias("_in"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        F.col("_part").alias("_of"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_earlier"), F.sum("_in").over(group).alias(total),
+    )
+    same = F.col("_part") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = laid.withColumn("_inside", F.coalesce(F.sum(measure).over(inside), F.lit(0)))
+    return summed.join(totals, same).select(*df.columns, (F.col("_earlier") + F.col("_inside")).alias(before), total)

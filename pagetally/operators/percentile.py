@@ -1,33 +1,34 @@
 """Exact quantiles without holding a group in one task."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetally.operators.materialise import materialise
+from pagetally.operators.ordering import running
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
-    """Smallest value whose cumulative share reaches ``share``, per key.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per key and named share the smallest value whose cumulative share reaches it.
 
-    Copies of a value are counted first. The counts are range-partitioned by key and value, so that a
-    group may go over any number of partitions; they are summed within partitions, and one total per
-    key and partition says how many come before.
+    Copies of a value are counted first; the counts are then summed up over ranges of key and value.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    # written, because sampled range bounds may differ between two evaluations
-    laid = materialise(counts.repartitionByRange(*keys, "_v")).withColumn("_part", F.spark_partition_id())
-    totals = laid.groupBy("_part", *keys).agg(F.sum("_n").alias("_in"))
-    group = Window.partitionBy(*keys)
-    totals = totals.select(
-        F.col("_part").alias("_of"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.coalesce(F.sum("_in").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_in").over(group).alias("_total"),
-    )
-    same = F.col("_part") == F.col("_of")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy("_part", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = laid.withColumn("_upto", F.sum("_n").over(inside)).join(totals, same)
-    reached = upto.filter(F.col("_before") + F.col("_upto") >= F.ceil(F.col("_total") * share))
-    return reached.groupBy(*keys).agg(F.min("_v").alias(name))
+    placed = running(counts, keys, ["_v"], "_n")
+    upto = F.col("_before") + F.col("_n")
+    return placed.groupBy(*keys).agg(*[
+        F.min(F.when(upto >= F.ceil(F.col("_total") * share), F.col("_v"))).alias(name) for name, share in shares.items()
+    ])
+
+
+def exact_quantile(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+    return exact_quantiles(df, keys, value, {name: share})
+
+
+def quantile_of_each(df: DataFrame, keys: list[str], columns: list[str], share: float) -> DataFrame:
+    """Per key the exact quantile of each of several columns, under their names. Keys without any reading give no row."""
+    readings = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value")) for c in columns
+    ]))
+    long = df.select(*keys, readings.alias("_r")).select(*keys, "_r.*")
+    found = exact_quantile(long, [*keys, "_name"], "_value", share, "_q")
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("_q"))).alias(c) for c in columns])

@@ -1,15 +1,19 @@
 """Page dashboard: vitals, traffic and shares per page, against the period before."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetally.functions import filters, metrics
+from pagetally.functions import filters
 from pagetally.functions.fixed_values import VITAL_LIMITS
 from pagetally.functions.timeframe import TimeRange, as_instant, time_range
 from pagetally.operators.access import url_host
 from pagetally.operators.materialise import materialise
 from pagetally.operators.ordering import label_top
+from pagetally.operators.percentile import quantile_of_each
 from pagetally.operators.scan import events
 from pagetally.params import ReportParams
 
@@ -61,15 +65,18 @@ def _per_view(ev: DataFrame, span: TimeRange, p: ReportParams, owner: str, repo:
 
 def _per_url(views: DataFrame) -> DataFrame:
     """Measures per period and url: within one sampling weight first, then weighted over weights."""
-    by_weight = views.groupBy("current", "wanted", "url", "weight").agg(
+    group = ["current", "wanted", "url", "weight"]
+    shares = views.groupBy(*group).agg(
         F.count("id").alias("events"),
         *[_share(v, f"<= {VITAL_LIMITS[v][0]}", f"{v}good") for v in VITALS],
         *[_share(v, f">= {VITAL_LIMITS[v][1]}", f"{v}bad") for v in VITALS],
-        *[
-            F.expr(_whole(f"avg{v}", f"percentile_approx({v}, 0.75, {metrics.ACCURACY})") + f" AS avg{v}")
-            for v in VITALS
-        ],
     )
+    p75 = quantile_of_each(views, group, list(VITALS), 0.75)
+    p75 = p75.select(
+        *[F.col(k).alias(f"_{k}") for k in group], *[F.expr(f"{_whole(f'avg{v}', v)} AS avg{v}") for v in VITALS]
+    )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in group])
+    by_weight = shares.join(p75, same, "left")
     by_url = by_weight.groupBy("current", "wanted", "url").agg(
         F.expr("sum(events * weight) AS pageviews"),
         *[F.expr(f"{_mean(m, 'weight')} AS {m}") for m in MEASURES],
@@ -88,7 +95,7 @@ def dashboard(
     """``limit`` pages with most views, the others as "Other"; with ``rising`` every page, by growth."""
     span = time_range(p)
     both = TimeRange(span.before().lo, span.hi)
-    urls = materialise(_per_url(_per_view(events(raw, p, keys, both), span, p, owner, repo)))
+    urls = materialise(_per_url(materialise(_per_view(events(raw, p, keys, both), span, p, owner, repo))))
     # at most two rows
     totals = urls.groupBy("current").agg(F.sum("pageviews").alias("total"))
     shown = urls.filter("wanted")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pagetally.functions import metrics
 from pagetally.functions.timeframe import iso_text
 from pagetally.operators.materialise import materialise
-from pagetally.operators.ordering import page_after, top
-from pagetally.operators.percentile import exact_quantile
+from pagetally.operators.ordering import page_after, running, top
+from pagetally.operators.percentile import exact_quantile, quantile_of_each
 from pagetally.operators.popularity import estimate_views
 from pagetally.operators.scan import checkpoints, events
 from pagetally.params import ReportParams
@@ -119,10 +119,11 @@ def forms(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> Dat
     def whole(vital, value):
         return F.round(value, 3) if vital == "cls" else metrics.to_int(value)
 
-    shown = by_id.join(best.select("url"), "url", "left_semi")
-    by_weight = shown.groupBy("url", "weight").agg(
-        *[whole(v, metrics.p75(F.col(v))).alias(v) for v in vitals]
-    )
+    shown = materialise(by_id.join(best.select("url"), "url", "left_semi"))
+    p75 = quantile_of_each(shown, ["url", "weight"], list(vitals), 0.75)
+    p75 = p75.select("url", "weight", *[whole(v, F.col(v)).alias(v) for v in vitals])
+    # a weight without readings still counts in the mean
+    by_weight = shown.select("url", "weight").distinct().join(p75, ["url", "weight"], "left")
     by_url = by_weight.groupBy("url").agg(
         *[whole(v, metrics.weighted_mean(F.col(v), F.col("weight"))).alias(f"avg{v}") for v in vitals]
     )
@@ -132,7 +133,7 @@ def forms(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> Dat
     )
 
 
-# Events of one bundle row; a longer bundle goes on in further rows.
+# Events of one bundle row; a longer bundle goes on in rows of its own.
 BUNDLE_EVENTS = 10_000
 
 
@@ -144,7 +145,7 @@ def bundle_heads(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None)
     """One row per page view of the day, without its events. Write it once to read page after page."""
     return _bundle_events(raw, p, keys).groupBy("id", "url").agg(
         F.min("time").alias("start"), F.min("weight").cast("bigint").alias("weight"),
-        F.min("user_agent").alias("user_agent"), F.count(F.lit(1)).alias("size"),
+        F.min("user_agent").alias("user_agent"),
     )
 
 
@@ -160,8 +161,8 @@ def bundles(
 
     Pages are cut over the bundle heads (given as a written table, or computed); only the events of
     the page's bundles are then gathered.
-    A bundle of more than ``bundle_events`` events is given whole as several rows that differ in
-    ``part`` (0 if there is but one) and share a row number, so that no row grows with a busy id.
+    Events are in order of time. A row holds at most ``bundle_events`` of them: events 0, 1, … of a bundle
+    are in ``part`` 0, the next as many in part 1, all with the bundle's row number, so no row grows with a busy id.
     """
     cursor = None if after in ("unset", "-") else after
     table = bundle_heads(raw, p, keys) if heads is None else heads
@@ -173,20 +174,19 @@ def bundles(
     for column, label in reversed(vital):
         name = F.when(F.col(column).isNotNull(), label).otherwise(name)
     detail = ev.select("id", "url", "time", name.alias("checkpoint"), "source", "target", value.alias("value"))
-    # copies of an event collapse to a count before the shuffle and are given back as parts
+    # copies of an event collapse to a count before the shuffle and are given back in their parts
     event = ["time", "checkpoint", "source", "target", "value"]
-    wanted = detail.join(page.select("id", "url", "size"), ["id", "url"])
-    counted = wanted.groupBy("id", "url", "size", *event).agg(F.count(F.lit(1)).alias("copies"))
-    spread = F.pmod(F.xxhash64(*event), F.ceil(F.col("size") / (bundle_events / 2)).cast("bigint"))
-    long = F.col("size") > bundle_events
-    runs = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / bundle_events)))
-    cut = counted.select("*", F.when(long, spread).otherwise(0).alias("_spread"), runs.alias("_run"))
-    here = F.least(F.lit(bundle_events), F.col("copies") - F.col("_run") * bundle_events).cast("int")
+    wanted = detail.join(page.select("id", "url"), ["id", "url"])
+    counted = wanted.groupBy("id", "url", *event).agg(F.count(F.lit(1)).alias("copies"))
+    placed = running(counted, ["id", "url"], event, "copies").withColumn("_end", F.col("_before") + F.col("copies"))
+    parts = F.sequence(F.floor(F.col("_before") / bundle_events), F.floor((F.col("_end") - 1) / bundle_events))
+    cut = placed.withColumn("part", F.explode(parts))
+    low, high = F.col("part") * bundle_events, (F.col("part") + 1) * bundle_events
+    here = (F.least("_end", high) - F.greatest("_before", low)).cast("int")
     one = F.struct(iso_text(F.col("time")).alias("time"), "checkpoint", "source", "target", "value")
     keyed = F.struct(*event, F.array_repeat(one, here).alias("rows"))
-    gathered = cut.groupBy("id", "url", "_spread", "_run").agg(F.sort_array(F.collect_list(keyed)).alias("sorted"))
-    listed = gathered.select("id", "url", "_spread", "_run", F.flatten("sorted.rows").alias("events"))
-    part = F.shiftleft(F.col("_spread").cast("bigint"), 32) + F.col("_run")
-    return listed.withColumn("part", part).join(page, ["id", "url"]).orderBy("rownum", "part").select(
+    gathered = cut.groupBy("id", "url", "part").agg(F.sort_array(F.collect_list(keyed)).alias("sorted"))
+    listed = gathered.select("id", "url", "part", F.flatten("sorted.rows").alias("events"))
+    return listed.join(page, ["id", "url"]).orderBy("rownum", "part").select(
         "id", "url", iso_text(F.col("start")).alias("time"), "weight", "user_agent", "events", "rownum", "part"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagetally.functions import filters, metrics
 from pagetally.operators.materialise import materialise
-from pagetally.operators.ordering import top
+from pagetally.operators.ordering import running, top
 from pagetally.operators.popularity import estimate_views
 from pagetally.operators.scan import checkpoints, events
 from pagetally.params import ReportParams
@@ -105,7 +105,7 @@ def targets(
     )
 
 
-# Sources listed in one row of the report on missing pages; a longer list goes on in further rows.
+# Sources listed in one row of the report on missing pages; a longer list goes on in rows of its own.
 LISTED_SOURCES = 100_000
 
 
@@ -114,8 +114,8 @@ def not_found(
 ) -> DataFrame:
     """Pages with ``404`` events, their views and the sources that lead to them.
 
-    A page with more than ``listed_sources`` sources takes several rows that differ in ``part`` and
-    ``all_sources``, so that no row grows with a busy page.
+    Sources are in order. A row lists at most ``listed_sources`` of them: the first are in ``part`` 0, the next
+    as many in part 1, so that no row grows with a busy page.
     """
     cp = checkpoints(events(raw, p, keys).filter(F.col("checkpoint") == "404"))
     by_source = materialise(estimate_views(cp, ["url", "source"]))
@@ -124,14 +124,16 @@ def not_found(
         F.count("source").alias("source_count"), F.sum("views").alias("views"),
     )
     # lists are built for the reported pages only
-    best = top(table, p.limit, "views", "url")
-    shown = by_source.select("url", "source").join(best.select("url", "source_count"), "url")
-    parts = F.ceil(F.col("source_count") / (listed_sources / 2)).cast("bigint")
-    part = F.when(F.col("source_count") > listed_sources, F.pmod(F.xxhash64("source"), parts)).otherwise(0)
-    lists = shown.groupBy("url", part.alias("part")).agg(F.sort_array(F.collect_list("source")).alias("all_sources"))
-    return lists.join(best, "url").orderBy(F.col("views").desc(), "url", "part").select(
-        "url", "top_source", "all_sources", "source_count", "views", "part"
-    )
+    best = materialise(top(table, p.limit, "views", "url"))
+    shown = by_source.filter(F.col("source").isNotNull()).select("url", "source", F.lit(1).alias("one")).join(best.select("url"), "url")
+    part = F.floor(F.col("_before") / listed_sources).cast("bigint")
+    placed = running(shown, ["url"], ["source"], "one").withColumn("part", part)
+    lists = placed.groupBy("url", "part").agg(F.sort_array(F.collect_list("source")).alias("all_sources"))
+    # a page whose events name no source has an empty list
+    return best.filter(F.col("url").isNotNull()).join(lists, "url", "left").select(
+        "url", "top_source", F.coalesce("all_sources", F.array().cast("array<string>")).alias("all_sources"),
+        "source_count", "views", F.coalesce("part", F.lit(0)).alias("part"),
+    ).orderBy(F.col("views").desc(), "url", "part")
 
 
 def checkpoint_urls(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> DataFrame:

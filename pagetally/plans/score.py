@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagetally.functions import filters, metrics
 from pagetally.functions import fixed_values as fixed
 from pagetally.operators.materialise import materialise
+from pagetally.operators.percentile import exact_quantiles
 from pagetally.operators.scan import events
 from pagetally.params import ReportParams
 
@@ -45,7 +46,8 @@ def cut_points(table: DataFrame, names: list[str]) -> Column:
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names
     ]))
     values = table.select(pairs.alias("v")).select("v.*").filter(F.col("value").isNotNull()).distinct()
-    cuts = values.groupBy("metric").agg(metrics.quantile(F.col("value"), CUTS).alias("cuts"))
+    shares = {f"c{i}": share for i, share in enumerate(CUTS)}
+    cuts = exact_quantiles(values, ["metric"], "value", shares).select("metric", F.array(*shares).alias("cuts"))
     return cuts.agg(F.struct(*[
         F.max(F.when(F.col("metric") == m, F.col("cuts"))).alias(m) for m in names
     ])).scalar()
