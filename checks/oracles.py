@@ -74,6 +74,9 @@ WHERE (c.wanted = '-' OR e.hostname = c.wanted) AND EXISTS (SELECT 1 FROM keyrow
   AND (k.hostname_prefix = '' OR c.wanted = k.hostname_prefix OR c.wanted LIKE '%.' || k.hostname_prefix)
   AND (k.hostname_prefix = '' OR e.url LIKE 'https://' || k.hostname_prefix || '/%' OR e.url LIKE 'https://%.' || k.hostname_prefix || '/%'))
 GROUP BY ALL""")
+add("scan_by_key_of_many_sites", """SELECT hostname, count(*) AS n, count(DISTINCT id) AS ids FROM ev
+WHERE hostname IN ('www.example.com', 'blog.example.com', 'shop.example.org') AND EXISTS (SELECT 1 FROM keyrows k
+  WHERE k.hostname_prefix = ev.hostname AND (k.revoke_date IS NULL OR k.revoke_date > DATE '2024-02-01')) GROUP BY hostname""")
 add("url_match_modes", """SELECT m AS mode, n FROM (
   SELECT '-' AS m, count(*) AS n FROM q
   UNION ALL SELECT 'www.example.com', count(*) FROM q WHERE hostname = 'www.example.com'
@@ -128,7 +131,7 @@ add("sql_functions", f"""SELECT hostname, user_agent, count(*) AS n, {big('sum(p
 UNION ALL SELECT hostname, checkpoint, count(*), {big('sum(pageviews)')}, round({phi('count(*) / 100.0')}, 6) FROM phones GROUP BY 1, 2""",
     """phones AS (SELECT id, checkpoint, target, source, hostname, max(weight) AS pageviews FROM ev
       WHERE url LIKE 'https://shop.example.org/p1%' AND user_agent LIKE 'mobile%' GROUP BY ALL)""",
-    ev=events_cte("2024-01-05", "2024-02-01"))
+    ev=events_cte())
 
 # ---- generated rows
 
@@ -155,7 +158,7 @@ add("named_intervals", f"""SELECT n, interval_name, strftime(interval_start, {ST
   strftime(interval_end, {STAMP}) AS interval_end,
   (SELECT count(*) FROM ev WHERE time >= interval_start AND time < interval_end) AS events FROM iv""", _NAMED)
 add("range_join_intervals", """SELECT CASE WHEN time >= TIMESTAMP '2024-01-15' THEN 'fifteen' WHEN time >= TIMESTAMP '2024-01-05'
-  THEN 'five' END AS interval_name, checkpoint, count(*) AS events FROM ev WHERE time >= TIMESTAMP '2024-01-03' GROUP BY 1, 2""")
+  THEN 'five' END AS interval_name, checkpoint, count(*) AS events FROM ev GROUP BY 1, 2""")
 
 # ---- aggregates
 
@@ -306,9 +309,9 @@ def dashboard(name: str, limit: int, where: str = "TRUE", url: str = "url", want
     keep = "TRUE" if rising else f"place <= {limit} OR url = 'Other'"
     ctes = [
         f"seen AS (SELECT *, {raw_url} AS page FROM ev)",
-        f"""views AS (SELECT id, time >= TIMESTAMP '2024-01-17' AS cur, max(weight) AS weight, max(page) AS url,
+        f"""views AS (SELECT id, time >= TIMESTAMP '2024-01-16' AS cur, max(weight) AS weight, max(page) AS url,
           {', '.join(f'max({v}) AS {v}' for v in VITALS)} FROM seen WHERE {wanted} GROUP BY 1, 2)""",
-        """totals AS (SELECT cur, sum(w) AS allviews FROM (SELECT id, time >= TIMESTAMP '2024-01-17' AS cur, max(weight) AS w
+        """totals AS (SELECT cur, sum(w) AS allviews FROM (SELECT id, time >= TIMESTAMP '2024-01-16' AS cur, max(weight) AS w
           FROM seen GROUP BY 1, 2) GROUP BY cur)""",
         f"by_weight AS (SELECT cur, {url} AS url, weight, count(*) AS events, {flags}, {p75} FROM views GROUP BY 1, 2, 3)",
         f"by_url AS (SELECT cur, url, sum(events * weight) AS pageviews, {means('weight', False)} FROM by_weight GROUP BY 1, 2)",
@@ -322,7 +325,7 @@ def dashboard(name: str, limit: int, where: str = "TRUE", url: str = "url", want
           row_number() OVER (ORDER BY n.pageviews DESC NULLS LAST, o.pageviews DESC NULLS LAST, coalesce(n.label, o.label)) AS place
           FROM (FROM labelled WHERE cur) n FULL JOIN (FROM labelled WHERE NOT cur) o ON n.label = o.label)""",
     ]
-    add(name, f"SELECT * EXCLUDE (place) FROM paired WHERE {keep}", *ctes, ev=events_cte("2024-01-02", "2024-02-01", where))
+    add(name, f"SELECT * EXCLUDE (place) FROM paired WHERE {keep}", *ctes, ev=events_cte("2023-12-31", "2024-02-01", where))
 
 
 _HOST = "nullif(regexp_extract(url, 'https://([^/]+)/', 1), '')"
@@ -357,7 +360,7 @@ def pageviews(name: str, unit: str, lo: str, hi: str, now: str, first: str, last
   {counts} FROM grid s LEFT JOIN foreseen f ON f.slot = s.slot""", *ctes, ev=events_cte(lo, hi, where))
 
 
-pageviews("pageviews_hour", "hour", "2024-01-28", "2024-01-31", "2024-01-31 07:00:00", "2024-01-28", "2024-01-30 23:00:00", "1 hour")
+pageviews("pageviews_hour", "hour", "2024-01-01", "2024-02-01", "2024-02-01", "2024-01-01", "2024-01-31 23:00:00", "1 hour")
 pageviews("pageviews_day", "day", "2024-01-01", "2024-02-01", "2024-02-01", "2024-01-01", "2024-01-31", "1 day")
 pageviews("pageviews_week", "week", "2023-12-21", "2024-02-01", "2024-02-01", "2023-12-18", "2024-01-29", "7 days")
 pageviews("pageviews_month", "month", "2023-11-03", "2024-02-01", "2024-02-01", "2023-11-01", "2024-01-01", "1 month")
@@ -384,9 +387,10 @@ LEFT JOIN (SELECT DISTINCT site, CAST(regexp_extract(host, '^publish-p(\\d+)', 1
 WHERE CAST(last_visit AS DATE) > DATE '2023-12-02'""",
     f"named AS (SELECT *, regexp_replace(hostname, '^www\\.', '') AS site FROM pv WHERE {_PUBLIC})",
     ev=events_cte("2023-12-31", "2024-01-31"))
-add("golive_hints", """SELECT hostname, strftime(min(time), '%Y-%m-%d') AS first_rum FROM ev
-WHERE checkpoint = 'top' AND hostname NOT LIKE '%.hlx.live' GROUP BY hostname
-HAVING min(time) >= TIMESTAMP '2024-01-01' ORDER BY hostname LIMIT 30""", ev=events_cte("2023-12-02", "2024-01-02"))
+add("golive_hints", """SELECT CASE WHEN time >= TIMESTAMP '2024-01-30' AND hostname LIKE '%.example.%' THEN 'new.' || hostname ELSE hostname END AS hostname,
+  strftime(min(time), '%Y-%m-%d') AS first_rum FROM ev
+WHERE checkpoint = 'top' AND hostname NOT LIKE '%.hlx.live' GROUP BY 1
+HAVING min(time) >= TIMESTAMP '2024-01-30' ORDER BY 1 LIMIT 30""", ev=events_cte("2023-12-31", "2024-01-31"))
 
 # ---- popularity
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagetally.functions import fixed_values as fixed
 
-# Rank error of a quantile is at most 1/ACCURACY of the group; groups below that size are exact.
+# Rank error of a sketched quantile is at most 1/ACCURACY of the group. Reports use exact ones, see operators.percentile.
 ACCURACY = 10_000
 
 
