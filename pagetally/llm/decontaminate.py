@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Runs, chunks, word_symbols, words, written
 from .ordering import dealt_in_order, with_positions
@@ -240,6 +241,7 @@ def contaminated(
     items = benchmark.select(F.col(item_id_col).alias("item_id"))
     kind, item_kind = (x.schema[0].dataType.simpleString() for x in (rows, items))
     schema = f"doc_id {kind}, item_id {item_kind}, begin long, n_words long, distance int, similarity double"
+    ids_type = to_arrow_type(items.schema[0].dataType)
     spark = docs.sparkSession
     result = spark.createDataFrame([], schema)
     for block in item_blocks(benchmark, item_id_col, item_text_col):
@@ -254,7 +256,7 @@ def contaminated(
                     columns = zip(*[(n, begin, apart, alike) for _, (alike, begin, n, apart) in found])
                     n, begin, apart, alike = columns if found else ((), (), (), ())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(of), pa.array([items.ids[i] for (_, i), _ in found], item_type(items.ids)), pa.array(begin, pa.int64()),
+                        [batch.column(0).take(of), pa.array([items.ids[i] for (_, i), _ in found], ids_type), pa.array(begin, pa.int64()),
                          pa.array(n, pa.int64()), pa.array(apart, pa.int32()), pa.array(alike, pa.float64())],
                         ["doc_id", "item_id", "begin", "n_words", "distance", "similarity"],
                     )
@@ -263,10 +265,6 @@ def contaminated(
     return result
 
 
-def item_type(ids: list) -> pa.DataType:
-    return pa.string() if any(isinstance(x, str) for x in ids) else pa.int64()
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those that hold an item, as `contaminated` finds them; a null text stays."""
     spark = docs.sparkSession

@@ -270,3 +270,17 @@ def test_empty_tables(spark, make_docs):
     for made in (bpe.token_counts(docs, BPE), packing.pack(docs, BPE), shards.shards(docs), merkle.edited_likeness(docs), language.identify_languages(docs)):
         assert made.count() == 0
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_item_ids_of_other_types(spark, make_docs):
+    docs = make_docs([(1, "a passage of six words here"), (2, "nothing of it")])
+    for kind, value in (("int", 7), ("string", "seven"), ("short", 7), ("long", None)):
+        benchmark = spark.createDataFrame([(value, "a passage of six words here")], f"item_id {kind}, text string")
+        assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()] == [(1, value)]
+
+
+def test_training_on_a_sample(spark):
+    docs = spark.createDataFrame([(i, "the house" if i % 2 else "das haus", "en" if i % 2 else "de") for i in range(4000)], "doc_id long, text string, lang string")
+    model = language.fit(docs, train_docs=500)
+    assert model.languages == ("de", "en")
+    assert language.fit(docs.filter("lang is null")).languages == ()
