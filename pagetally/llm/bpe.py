@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import held, small_batches
+
 #: Pieces a worker remembers; beyond that it starts anew, so memory stays bounded.
 REMEMBERED = 800_000
 
@@ -36,16 +38,21 @@ class Splitter:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            self.content = json.load(file)
-        if (self.content.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or self.content.get("normalizer"):
+        self.path = path
+        content = self.content()
+        if (content.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or content.get("normalizer"):
             raise ValueError(f"{path}: not a byte-level tokenizer without a normalizer")
-        specials = {x["content"]: x["id"] for x in self.content.get("added_tokens", [])}
+        specials = {x["content"]: x["id"] for x in content.get("added_tokens", [])}
         self.specials = specials
         longest_first = sorted(specials, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, longest_first))) if specials else None
         self.latin = _latin_split()
 
+    def content(self) -> dict:
+        """What the file says; not kept, as it is large."""
+        with open(self.path, encoding="utf-8") as file:
+            return json.load(file)
+
     def pieces(self, text: str) -> list[str]:
         """Of a text without special strings."""
         try:
@@ -85,10 +92,11 @@ class Merger(dict):
     def __init__(self, splitter: Splitter):
         super().__init__()
         letters = byte_letters()
-        vocabulary = splitter.content["model"]["vocab"]
+        model = splitter.content()["model"]
+        vocabulary = model["vocab"]
         self.start = [vocabulary[x] for x in letters]
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (left, right) in enumerate(splitter.content["model"]["merges"]):
+        for rank, (left, right) in enumerate(model["merges"]):
             self.ranks[vocabulary[left], vocabulary[right]] = rank, vocabulary[left + right]
 
     def __missing__(self, piece: str) -> int:
@@ -133,19 +141,13 @@ class Merger(dict):
         return n - merges
 
 
-_MERGERS: dict[str, tuple[Splitter, Merger]] = {}
-
-
 def _merger(path: str) -> tuple[Splitter, Merger]:
-    """One for each worker and file."""
-    if path not in _MERGERS:
-        splitter = Splitter(path)
-        _MERGERS[path] = splitter, Merger(splitter)
-    return _MERGERS[path]
+    splitter = Splitter(path)
+    return splitter, Merger(splitter)
 
 
 def count_tokens(text: str, path: str) -> int:
-    splitter, merger = _merger(path)
+    splitter, merger = held(f"merger of {path}", lambda: _merger(path))
     count = merger.__getitem__
     return sum(1 if special is not None else sum(map(count, splitter.pieces(part))) for part, special in splitter.parts(text))
 
@@ -163,6 +165,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             n = [count_tokens(x.as_py(), path) for x in column]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()

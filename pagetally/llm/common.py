@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together; a longer text is looked at alone.
 CHUNK_BYTES = 1 << 18
+#: Rows of an Arrow batch, and the setting of Spark; its default of 10,000 whole texts would be large.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+#: What a Python worker keeps from task to task.
+_HELD: dict[str, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +40,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on, unless the session asks for fewer."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What `make` gives, made once in a Python worker."""
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def forget() -> None:
+    """Let go of what tasks of other operators left in this Python worker."""
+    if _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, key, text; a null text is empty. Rows of equal id and key are the same document."""
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Runs, chunks, word_symbols, words, written
+from .common import Runs, chunks, forget, small_batches, word_symbols, words, written
 from .ordering import dealt_in_order, with_positions
 
 #: Words of a shingle, and the similarity from which a passage counts as the item's.
@@ -243,11 +243,13 @@ def contaminated(
     schema = f"doc_id {kind}, item_id {item_kind}, begin long, n_words long, distance int, similarity double"
     ids_type = to_arrow_type(items.schema[0].dataType)
     spark = docs.sparkSession
+    small_batches(spark)
     result = spark.createDataFrame([], schema)
     for block in item_blocks(benchmark, item_id_col, item_text_col):
         shared = spark.sparkContext.broadcast(block)
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget()
             items = shared.value
             for batch in batches:
                 for first, _, data, at in chunks(batch.column(1)):
@@ -268,11 +270,13 @@ def contaminated(
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those that hold an item, as `contaminated` finds them; a null text stays."""
     spark = docs.sparkSession
+    small_batches(spark)
     place = docs.columns.index(text_col)
     for block in item_blocks(benchmark, item_id_col, item_text_col):
         shared = spark.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in batches:
                 good = np.ones(len(batch), bool)
                 column = batch.column(place).fill_null("")

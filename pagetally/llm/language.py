@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, string_bytes
+from .common import forget, mixed, small_batches, string_bytes
 
 #: Hashed trigrams.
 BUCKETS = 1 << 15
@@ -27,7 +27,7 @@ EVIDENCE = 1 / 3
 #: The language of a text that has none.
 UNKNOWN = "und"
 #: Text that is looked at together, in bytes.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: Letters A-Z made small, other ASCII characters a space, bytes of other letters kept.
@@ -68,12 +68,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     The model has BUCKETS numbers for each language, so its size depends on the languages alone.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     n = rows.count()
     if n > train_docs:
         rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < (train_docs << 40) // n)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
@@ -186,9 +188,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     is every text where nothing was learned; letters that no trigram can be made of give `und` too. Repeated rows are
     read each and null ids stay null. Only id and text are read. Nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             preds, scores, sets, parts = zip(*judged(shared.value, batch.column(1))) if len(batch) else [()] * 4
             yield pa.RecordBatch.from_arrays(
@@ -203,10 +207,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose language is known with at least that share; null texts are not among them."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             good = [lang != UNKNOWN and score >= least for lang, score, _, _ in judged(shared.value, batch.column(place).fill_null(""))]
             yield batch.filter(pa.array(good, pa.bool_()))

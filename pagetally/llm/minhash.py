@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Runs, chunks, groups, mixed, signed, texts, word_symbols, words, written
+from .common import LOWER, Runs, chunks, forget, groups, mixed, signed, small_batches, texts, word_symbols, words, written
 from .components import components
 
 #: Minima, minima in a band, and low bits kept of each minimum.
@@ -93,6 +93,7 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
     """(doc_id, key, n, set_a, set_b, bands, signature): set_a and set_b tell sets apart, bands hash the minima in groups."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for first, last, data, at in chunks(batch.column(2)):
                 sets = shingle_sets(data, at, size)
@@ -132,6 +133,7 @@ def full_sets(rows: DataFrame, size: int) -> DataFrame:
     """(doc_id, key, shingles) of rows (doc_id, key, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for first, last, data, at in chunks(batch.column(2)):
                 sets = shingle_sets(data, at, size)
@@ -203,6 +205,7 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
         return a[i].tolist(), b[j].tolist()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for table in groups(batches):
             a, b = links(table)
             ids = table.column(2).combine_chunks()
@@ -291,6 +294,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     row. Candidates come from bands of minima: two documents at 85 percent miss all of them once in some 130,000 pairs,
     at 80 percent once in some 5,000, and a group of copies is held together by all its links.
     """
+    small_batches(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
     made = written(sketches(rows, size), "sketches")
     full = made.filter("n > 0 and doc_id is not null")

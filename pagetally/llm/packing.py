@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import REMEMBERED, Splitter
-from .common import written
+from .common import held, small_batches, written
 
 
 class Ids(dict):
@@ -34,15 +34,14 @@ class Ids(dict):
         return made
 
 
-_IDS: dict[str, tuple[Splitter, Ids]] = {}
+def _encoder(path: str) -> tuple[Splitter, Ids]:
+    splitter = Splitter(path)
+    return splitter, Ids(splitter)
 
 
 def token_ids(text: str, path: str) -> bytes:
     """As the library encodes the whole text: its split depends on nothing outside a piece once the pieces are known."""
-    if path not in _IDS:
-        splitter = Splitter(path)
-        _IDS[path] = splitter, Ids(splitter)
-    splitter, ids = _IDS[path]
+    splitter, ids = held(f"ids of {path}", lambda: _encoder(path))
     parts = [
         np.uint32(special).astype("<u4").tobytes() if special is not None else b"".join(map(ids.__getitem__, splitter.pieces(part)))
         for part, special in splitter.parts(text)
@@ -164,6 +163,7 @@ def pack(
     (length, task) are added up, so nothing of a hot length is gathered.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = written(cut_into_pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
     totals = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, chunks, signed, texts, word_symbols, words, written
+from .common import Runs, chunks, forget, signed, small_batches, texts, word_symbols, words, written
 from .winnow import spans
 
 #: Words of a removed passage, and of an anchor.
@@ -31,6 +31,7 @@ def find_seeds(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(anchor, run, doc_id, key, begin, n): windows begin, ..., begin + n - 1 (in words) have this anchor; run hashes all their words."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for first, last, data, at in chunks(batch.column(2)):
                 begins, ends, starts = words(data, at)
@@ -53,6 +54,7 @@ def open_windows(rows: DataFrame, length: int) -> DataFrame:
     """Of rows (doc_id, key, text, opened: array of (anchor, run, begin, n)): a row (anchor, run, place, window, doc_id) for each window."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             lists = batch.column(2)
             for first, last, data, at in chunks(batch.column(1)):
@@ -80,6 +82,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     `rows`: doc_id, key, text, as `common.texts` gives them. A passage's windows all begin in such a document too;
     passages may overlap. Documents without a passage, and rows with a null id, are not returned.
     """
+    small_batches(rows.sparkSession)
     seeds = written(find_seeds(rows.filter("doc_id is not null"), length, gram), "seeds")
     # anchors of a single document end here
     # small tables are written before they are joined: Spark can then split a hot anchor among tasks
@@ -170,6 +173,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.hash(F.coalesce("text", F.lit(""))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             total, gone, runs, kept = [], [], [], []
             for text, begin, end in with_passages(batch.column(1), batch.column(2)):
@@ -197,6 +201,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     ).select(*columns, "_passages")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             made, good = [], []
             for text, begin, end in with_passages(batch.column(place), batch.column(len(columns))):
