@@ -38,18 +38,19 @@ BLOCKS = frozenset(
     "tfoot tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset legend hr details summary center".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class or id that mark what does not belong to the text.
+#: Words of a class or id that mark what does not belong to the text, as the whole name or its leading word ("sidebar-left").
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus "
     "disclaimer footer header masthead menu menubar nav navbar navigation newsletter notice notices popup promo promoted promotion related "
     "share sharing sidebar social sponsor sponsored subscribe teaser toolbar widget consent gdpr replies pagination".split()
 )
+#: Last words of a name that tells a state of the page ("ad-free", "menu-open") and not what the element is.
+STATES = frozenset("free less none off on open opened closed collapsed expanded enabled disabled visible hidden active".split())
 #: An opened `p` ends where one of these begins.
 CLOSES_P = BLOCKS - {"html", "body"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,28 +68,43 @@ class Block:
     heading: bool
     inside: bool
     outside: bool
+    raised: bool  # in an article or main whose own ancestor is marked
     label: str = ""
 
 
-def _marks(attributes: str) -> bool:
-    for found in _MARKED.finditer(attributes):
-        names = re.split(r"[\s_-]+", (found[1] or found[2] or found[3] or "").lower())
-        if not MARKS.isdisjoint(names):
-            return True
-    return bool(_HIDDEN.search(attributes))
+def _marks(attributes: str) -> tuple[bool, bool]:
+    """Whether the class, id or role marks the element as no part of the text, and whether it is hidden."""
+    marked = hidden = False
+    for found in _ATTRIBUTE.finditer(attributes):
+        name, value = found[1].lower(), (found[2] or found[3] or found[4] or "").lower()
+        if name in ("class", "id", "role"):
+            for word in value.split():
+                words = [w for w in re.split("[_-]+", word) if w]
+                marked |= bool(words) and words[0] in MARKS and (len(words) == 1 or words[-1] not in STATES)
+        elif name == "hidden":
+            hidden |= value != "until-found"
+        elif name == "aria-hidden":
+            hidden |= value.strip() == "true"
+        elif name == "style":
+            for rule in value.split(";"):
+                key, _, what = rule.partition(":")
+                what = what.replace("!important", "").strip()
+                hidden |= (key.strip(), what) in (("display", "none"), ("visibility", "hidden"), ("visibility", "collapse"))
+    return marked, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """The page cut at block elements, each with its share of link text and the containers it stands in.
 
     Broken markup is read as it comes: an end without a beginning is passed over, what is not closed ends with its
-    container or the page, and `<` that begins no tag is text.
+    container or the page, and `<` that begins no tag is text. A mark (or form) around an article or main does not put
+    what stands inside that element outside, unless the article is marked too, as that of a comment is.
     """
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, holds page content, holds none
+    open_tags: list[tuple[str, bool, bool, bool, int]] = []  # name, holds page content, holds none, is marked, marks it lifted
     parts: list[str] = []
     linked_parts: list[str] = []
-    links = outside = inside = 0
+    links = outside = inside = marks = raised = 0
     heading = False
     done = 0
 
@@ -98,7 +114,7 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
                 linked = len(_SPACE.sub(" ", "".join(linked_parts)).strip())
-                found.append(Block(text, linked, heading, inside > 0, outside > 0))
+                found.append(Block(text, linked, heading, inside > 0, outside > 0 or marks > 0, raised > 0))
             parts, linked_parts = [], []
 
     def text_until(end: int) -> None:
@@ -109,12 +125,14 @@ def blocks(page: str) -> list[Block]:
                 linked_parts.append(piece)
 
     def pop_to(i: int) -> None:
-        nonlocal links, inside, outside, heading
+        nonlocal links, inside, outside, marks, raised, heading
         while len(open_tags) > i:
-            name, within, without = open_tags.pop()
+            name, within, without, marked, lifted = open_tags.pop()
             links -= name == "a"
             inside -= within
             outside -= without
+            marks += lifted - marked
+            raised -= lifted > 0
             if len(name) == 2 and name[0] == "h" and name[1].isdigit():
                 heading = False
 
@@ -152,14 +170,21 @@ def blocks(page: str) -> list[Block]:
                     break
         if name in VOID or token[3].endswith("/"):
             continue
-        within, without = name in INSIDE, name in OUTSIDE or bool(token[3]) and name not in ("html", "body", *INSIDE) and _marks(token[3])
-        # a header within the article is its heading, but a form or a menu is not
-        if name == "header" and inside and not _marks(token[3]):
-            without = False
-        open_tags.append((name, within, without))
+        marked, hidden = _marks(token[3]) if token[3] and name not in ("html", "body") else (False, False)
+        within, without, lifted = name in INSIDE, name in OUTSIDE, 0
+        if within:
+            # what is around an article or main says nothing of its text
+            lifted, marked = 0 if marked else marks, False
+        else:
+            # a header within the article is its heading, but a form or a menu is not
+            without = hidden or without and name != "form" and not (name == "header" and inside and not marked)
+            marked |= name == "form"
+        open_tags.append((name, within, without, marked, lifted))
         links += name == "a"
         inside += within
         outside += without
+        marks += marked - lifted
+        raised += lifted > 0
         if len(name) == 2 and name[0] == "h" and name[1].isdigit():
             heading = True
     text_until(len(page))
@@ -188,8 +213,20 @@ def first_label(block: Block) -> str:
     return "near" if block.inside else "bad"
 
 
+def _own(b: Block) -> int:
+    """Code points that are no link."""
+    return len(b.text) - b.linked
+
+
 def decide(found: list[Block]) -> list[Block]:
-    """The blocks that are main text. Where the page has an article or main element, the others' blocks are out."""
+    """The blocks that are main text. Where the page has an article or main element, the others' blocks are out.
+
+    Articles in a marked element (comments, related) are out only beside an unmarked one with more text.
+    """
+    raised = sum(_own(b) for b in found if b.raised and not b.outside)
+    if raised < sum(_own(b) for b in found if b.inside and not b.raised and not b.outside):
+        for b in found:
+            b.outside |= b.raised
     whole = any(b.inside and not b.outside for b in found)
     for b in found:
         b.label = "bad" if whole and not b.inside else first_label(b)

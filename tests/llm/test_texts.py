@@ -181,6 +181,35 @@ def test_extraction(spark):
     assert text[4, "w"].count("\n") == 2 and "\nAnd on.\n" in text[4, "w"]
 
 
+ARTICLE = "<article><h1>The head</h1><p>" + "This is the text of the article and it is in the page for all of us to be read as such. " * 3 + "</p></article>"
+
+
+def test_wrappers_of_an_article_are_not_marks():
+    whole = html.main_text(ARTICLE)
+    assert len(whole) > 250
+    for attribute in (
+        'class="layout has-sidebar"', 'class="no-sidebar"', 'class="ad-free"', 'class="sticky-nav"', 'class="overflow-hidden"', 'style="overflow:hidden"',
+        'data-state="not hidden yet"', "data-x=hidden", 'class="sidebar-right"', 'id="sidebar"', 'class="header menu"', 'style="background-position:hidden"',
+    ):
+        for name in ("div", "section"):
+            assert html.main_text(f"<nav>The menu of the site</nav><{name} {attribute}>{ARTICLE}</{name}>") == whole, attribute
+        if attribute not in ('class="sidebar-right"', 'id="sidebar"', 'class="header menu"'):
+            assert html.main_text(f"<div {attribute}>{ARTICLE.replace('article>', 'div>')}</div>") == whole, attribute
+    assert html.main_text(f"<form id=all>{ARTICLE}</form>") == whole
+
+
+def test_marked_and_hidden_elements_stay_out():
+    whole, other = html.main_text(ARTICLE), "<p>This is what was not to be in the text of the page and it is long enough to be read as such.</p>"
+    for attribute in (
+        "class=sidebar", 'class="left ad"', 'class="cookie-notice"', 'id="comments-list"', "hidden", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display: none"',
+        'style="visibility:hidden !important"', "role=banner",
+    ):
+        inner = ARTICLE.replace("</article>", f"<div {attribute}>{other}</div></article>")
+        assert html.main_text(inner) == whole, attribute
+    for apart in (f"<div id=comments><article>{other}</article></div>", f'<div id=comments><article class="comment-body">{other * 9}</article></div>', f"<aside><article>{other}</article></aside>"):
+        assert html.main_text(ARTICLE + apart) == html.main_text(f"<main>{ARTICLE}{apart}</main>") == whole, apart
+
+
 def test_broken_markup_never_fails():
     rng = random.Random(2)
     for _ in range(300):
