@@ -37,6 +37,8 @@ BLOCKS = frozenset(
     "html body p div section article main header footer nav aside form menu dialog ul ol li dl dt dd table caption thead tbody "
     "tfoot tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset legend hr details summary center".split()
 )
+#: Elements whose links may be what the list or table is about.
+ITEMS = frozenset("li dt dd td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class or id that mark what does not belong to the text, as the whole name or its leading word ("sidebar-left").
 MARKS = frozenset(
@@ -54,9 +56,14 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Letters of the languages of STOP_WORDS, and letters of which one says as much as three of those.
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 
 #: Code points below which a block is too short to be judged alone, and share of link text above which it is no text.
 SHORT, LONG, LINKS = 70, 200, 0.5
+#: The same share within the page's article, where a link in a sentence is text.
+ONLY_LINKS = 0.9
 #: Share of stop words from which a block reads as text, and from which it may.
 STOPS_HIGH, STOPS_LOW = 0.18, 0.08
 
@@ -68,6 +75,7 @@ class Block:
     heading: bool
     inside: bool
     outside: bool
+    item: bool  # of a list or table
     raised: bool  # in an article or main whose own ancestor is marked
     label: str = ""
 
@@ -104,7 +112,7 @@ def blocks(page: str) -> list[Block]:
     open_tags: list[tuple[str, bool, bool, bool, int]] = []  # name, holds page content, holds none, is marked, marks it lifted
     parts: list[str] = []
     linked_parts: list[str] = []
-    links = outside = inside = marks = raised = 0
+    links = outside = inside = marks = raised = items = 0
     heading = False
     done = 0
 
@@ -114,7 +122,7 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
                 linked = len(_SPACE.sub(" ", "".join(linked_parts)).strip())
-                found.append(Block(text, linked, heading, inside > 0, outside > 0 or marks > 0, raised > 0))
+                found.append(Block(text, linked, heading, inside > 0, outside > 0 or marks > 0, items > 0, raised > 0))
             parts, linked_parts = [], []
 
     def text_until(end: int) -> None:
@@ -125,10 +133,11 @@ def blocks(page: str) -> list[Block]:
                 linked_parts.append(piece)
 
     def pop_to(i: int) -> None:
-        nonlocal links, inside, outside, marks, raised, heading
+        nonlocal links, inside, outside, marks, raised, items, heading
         while len(open_tags) > i:
             name, within, without, marked, lifted = open_tags.pop()
             links -= name == "a"
+            items -= name in ITEMS
             inside -= within
             outside -= without
             marks += lifted - marked
@@ -181,6 +190,7 @@ def blocks(page: str) -> list[Block]:
             marked |= name == "form"
         open_tags.append((name, within, without, marked, lifted))
         links += name == "a"
+        items += name in ITEMS
         inside += within
         outside += without
         marks += marked - lifted
@@ -192,65 +202,105 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def first_label(block: Block) -> str:
-    """good, bad, near (of the border) or short (too little to tell)."""
+def _own(b: Block) -> int:
+    """Code points that are no link."""
+    return len(b.text) - b.linked
+
+
+def _size(text: str) -> int:
+    """Code points, those of Chinese, Japanese and Korean counted three times."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
+
+
+def _stops(texts: list[str]) -> float:
+    found = [w for text in texts for w in _WORD.findall(text.lower())]
+    return sum(w in STOP_WORDS for w in found) / max(1, len(found))
+
+
+def _foreign(text: str) -> bool:
+    """Whether most letters are of no language of STOP_WORDS."""
+    letters = 0 if text.isascii() else sum(map(len, _WORD.findall(text)))
+    return letters > 2 * len(_LATIN.findall(text))
+
+
+def first_label(block: Block, unlisted: bool = False) -> str:
+    """good, bad, near (of the border) or short (too little to tell). unlisted: the page is in no language of STOP_WORDS."""
     n = len(block.text)
     if block.outside:
         return "bad"
-    if block.linked > LINKS * n:
+    if block.inside:
+        # headings and lists of links may be the article's own
+        if block.linked > ONLY_LINKS * n and not block.heading and not block.item:
+            return "bad"
+    elif block.linked > LINKS * n:
         return "bad"
+    size = _size(block.text)
     if block.heading:
         return "short"
-    if n < SHORT:
-        return "bad" if block.linked else "short"
-    found = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in found) / max(1, len(found))
+    if size < SHORT:
+        return "bad" if block.linked and not block.inside else "short"
+    stops = _stops([block.text])
+    if stops < STOPS_LOW and (unlisted or _foreign(block.text)):
+        return "good" if size > LONG else "near"
     if stops >= STOPS_HIGH:
-        return "good" if n > LONG or block.inside else "near"
+        return "good" if size > LONG or block.inside else "near"
     if stops >= STOPS_LOW:
-        return "good" if block.inside and n > LONG else "near"
+        return "good" if block.inside and size > LONG else "near"
     # what the page itself marks as its article is not dropped for its words
     return "near" if block.inside else "bad"
 
 
-def _own(b: Block) -> int:
-    """Code points that are no link."""
-    return len(b.text) - b.linked
-
-
-def decide(found: list[Block]) -> list[Block]:
-    """The blocks that are main text. Where the page has an article or main element, the others' blocks are out.
-
-    Articles in a marked element (comments, related) are out only beside an unmarked one with more text.
-    """
-    raised = sum(_own(b) for b in found if b.raised and not b.outside)
-    if raised < sum(_own(b) for b in found if b.inside and not b.raised and not b.outside):
-        for b in found:
-            b.outside |= b.raised
-    whole = any(b.inside and not b.outside for b in found)
-    for b in found:
-        b.label = "bad" if whole and not b.inside else first_label(b)
+def _settle(found: list[Block], edge: str, headings: bool) -> None:
+    """near and short become good or bad by the nearest decided blocks before and after. edge: what the ends count as."""
     labels = [b.label for b in found]
-    # nearest decided neighbours, before and after; the edge of the page counts as bad, that of its article as good
-    edge = "good" if whole else "bad"
     n = len(labels)
     before, after = [edge] * n, [edge] * n
     last = edge
     for i in range(n):
         before[i] = last
-        if labels[i] in ("good", "bad") and not (whole and (not found[i].inside or found[i].outside)):
+        if labels[i] in ("good", "bad"):
             last = labels[i]
     last = edge
     for i in range(n - 1, -1, -1):
         after[i] = last
-        if labels[i] in ("good", "bad") and not (whole and (not found[i].inside or found[i].outside)):
+        if labels[i] in ("good", "bad"):
             last = labels[i]
     for i, b in enumerate(found):
         if labels[i] == "near":
             b.label = "bad" if before[i] == after[i] == "bad" else "good"
         elif labels[i] == "short":
             # a heading goes with what follows it
-            b.label = after[i] if b.heading and not whole else before[i] if before[i] == after[i] else "good" if whole else "bad"
+            b.label = after[i] if b.heading and headings else before[i] if before[i] == after[i] else edge
+
+
+def decide(found: list[Block]) -> list[Block]:
+    """The blocks that are main text. Where article or main hold most of the page's unlinked text, the others' blocks are out.
+
+    Articles in a marked element (comments, related) are out only beside an unmarked one with more text.
+    """
+    raised = sum(_own(b) for b in found if b.raised and not b.outside)
+    if raised < sum(_own(b) for b in found if b.inside and not b.raised and not b.outside):
+        for b in found:
+            b.outside |= b.raised
+    article = [b for b in found if b.inside and not b.outside]
+    whole = bool(article) and 2 * sum(map(_own, article)) >= sum(_own(b) for b in found if not b.outside)
+    for b in article:
+        b.label = first_label(b)
+    # the ends of the page count as bad, those of its article as good
+    _settle(article, "good", False)
+    others = [b for b in found if not b.inside or b.outside]
+    if whole:
+        for b in others:
+            b.label = "bad"
+    else:
+        unlisted = _stops([b.text for b in others if not b.outside and b.linked <= LINKS * len(b.text) and _size(b.text) >= SHORT]) < STOPS_LOW
+        for b in others:
+            b.label = first_label(b, unlisted)
+        # where no block is long enough to be good alone, those near it are the text
+        if not any(b.label == "good" for b in others):
+            for b in others:
+                b.label = "good" if b.label == "near" else b.label
+        _settle(others, "bad", True)
     return [b for b in found if b.label == "good"]
 
 

@@ -210,6 +210,42 @@ def test_marked_and_hidden_elements_stay_out():
         assert html.main_text(ARTICLE + apart) == html.main_text(f"<main>{ARTICLE}{apart}</main>") == whole, apart
 
 
+def test_linked_text_of_an_article_stays():
+    long = "This is the text of the article and it is in the page for all of us to be read as such. " * 3
+    page = f"""<article><h1><a href=x>The linked head</a></h1><p>{long}</p><p>See <a href=y>the report</a> first.</p><p><a href=z>Read more</a></p>
+    <p>{long}</p><h2>Sources</h2><ul><li><a href=r>Report of the year</a></li><li><a href=s>Another report</a>, 2020</li></ul></article><p>Outside <a href=y>of it</a></p>"""
+    assert html.main_text(page).split("\n") == [
+        "The linked head", long.strip(), "See the report first.", long.strip(), "Sources", "Report of the year", "Another report, 2020",
+    ]
+
+
+def test_text_beside_a_card_stays():
+    long = ["This is the text of the page and it is in the body for all of us to be read as such. " * 3 + x for x in "abc"]
+    content = "<div id=content>" + "".join(f"<p>{x}</p>" for x in long) + "</div>"
+    for card in ("<article class=card><h3><a href=x>Another</a></h3></article>", "<article><a href=x>Another</a></article>", "<div class=related><article>Another one</article></div>"):
+        for page in (card + content, content + card):
+            assert [x for x in html.main_text(page).split("\n") if "Another" not in x] == long
+    middling = [x[:150] for x in long]
+    assert [x for x in html.main_text("<article>Another one</article>" + "".join(f"<p>{x}</p>" for x in middling)).split("\n") if "Another" not in x] == [x.strip() for x in middling]
+    # a page whose article has most of the text is that article
+    assert html.main_text("<article>" + content + f"</article><p>{long[0]}</p>").split("\n") == long
+
+
+def test_languages_without_stop_words():
+    menu = "<ul><li><a href=a>Menu</a></li><li><a href=b>Kontakt</a></li></ul>"
+    for text in (
+        "Wczoraj rano mieszkańcy małego miasteczka zobaczyli niezwykłe zjawisko nad jeziorem, które przyciągnęło wielu ciekawskich turystów. ",
+        "Вчера утром жители небольшого города увидели над озером необычное явление, которое привлекло многих любопытных туристов. ",
+        "昨天早上，小镇的居民在湖面上看到了一种不寻常的现象，吸引了许多好奇的游客前来观看，当地报纸也作了报道。",
+    ):
+        for times in (1, 3):
+            paragraphs = [(text * times + str(i)) for i in range(3)]
+            page = menu + "<div>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div>" + menu
+            assert html.main_text(page).split("\n") == paragraphs, text
+    mixed = "<p>" + "The text of the page is in the body of it and that is what it has to be. " * 4 + "</p><p>" + "Вчера утром жители города увидели над озером необычное явление. " * 4 + "</p>"
+    assert len(html.main_text(mixed).split("\n")) == 2
+
+
 def test_broken_markup_never_fails():
     rng = random.Random(2)
     for _ in range(300):
