@@ -1,10 +1,11 @@
 """Byte passages that occur more than once, over a logarithmic family of suffix arrays.
 
-Documents come in batches. A batch gets the array of its sampled suffixes, sorted; it is scanned by merging against the
-arrays that are there already, one for each level, for suffixes that begin alike; then arrays of equal size merge, so
-that after any number of batches there are few levels, each twice the one below. Suffixes are sampled by content, so that
-every string of `length` bytes holds a sampled one at a place that its bytes decide; they are sorted by the hash of
-their first `gram` bytes, which puts equal beginnings side by side. Suffixes that begin alike are then extended both ways.
+Documents come in batches. A batch gets the array of its sampled suffixes, each once with its count; it is joined by
+merging with the arrays that are there already, one for each level, for suffixes that begin alike; then arrays of equal
+size merge, so that after any number of batches there are few levels, each twice the one below. An array holds only
+hashes and counts; where a suffix that was met stands is looked up once, after the last batch. Suffixes are sampled by content, so that
+every string of `length` bytes holds a sampled one at a place that its bytes decide; they are told
+apart by the hash of their first `gram` bytes. Suffixes that begin alike are then extended both ways.
 """
 from __future__ import annotations
 
@@ -51,7 +52,7 @@ def sampled(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class Family:
-    """Sorted arrays of suffixes, one for each level that is filled: level i holds 2**i batches."""
+    """Arrays of suffixes with their counts, one for each level that is filled: level i holds 2**i batches."""
 
     def __init__(self):
         self.entries: list[DataFrame] = []
@@ -60,7 +61,8 @@ class Family:
 
     def add(self, batch: DataFrame) -> None:
         """Take in a batch (suffix, run, doc_id, key, begin, n): meet its own suffixes and every level's, then merge."""
-        entries = written(batch.repartition("suffix").sortWithinPartitions("suffix"), "suffixes")
+        # as they come: by suffix, all of a hot one would go to one task
+        entries = written(batch, "suffixes")
         self.entries.append(entries)
         # the array of a level needs no more than the suffixes
         array = written(entries.groupBy("suffix").agg(F.count(F.lit(1)).alias("many")), "array")

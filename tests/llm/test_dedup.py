@@ -147,6 +147,15 @@ def test_levels_merge_geometrically(spark, make_docs):
     assert filled == [[0], [1], [0, 1], [2], [0, 2]]
 
 
+def test_entries_of_a_hot_suffix_are_spread(spark):
+    rows = [(7 if i % 3 else i, i, i, 1, 0, 1) for i in range(400)]
+    family = suffixes.Family()
+    family.add(spark.createDataFrame(rows, "suffix long, run long, doc_id long, key int, begin int, n int").repartition(8))
+    files = family.entries[0].filter("suffix = 7").selectExpr("input_file_name() as file").groupBy("file").count().collect()
+    assert len(files) == 8 and sum(r["count"] for r in files) == sum(r[0] == 7 for r in rows)
+    assert family.levels[0].filter("suffix = 7").collect()[0]["many"] == sum(r[0] == 7 for r in rows)
+
+
 def test_empty_tables(make_docs):
     docs = make_docs([])
     for made in (minhash.near_duplicates(docs), repeats.remove_repeats(docs), suffixes.remove_repeated_bytes(docs), repeats.deduplicated(docs), minhash.one_of_each(docs)):
