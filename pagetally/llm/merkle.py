@@ -1,7 +1,7 @@
 """Fingerprints of documents as hash trees: text, sections, paragraphs, units of words.
 
 A section ends at an empty line (two line feeds), a paragraph at a line feed, and a unit is up to eight words of a
-paragraph with the white space around them, so the units of a text are the text. The hash of a node is the SHA-256 of
+paragraph, or 64 code points of one long word, with the white space around them, so the units of a text are the text. The hash of a node is the SHA-256 of
 its children's hashes; roots are equal when texts are, and comparing branches finds where texts differ.
 """
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .common import texts
 from .ordering import dealt_in_order, with_positions
 
-#: Up to eight words with the white space around them; or white space alone.
-UNIT = r"\s*(?:\S+\s*){1,8}|\s+"
+#: Up to eight words of at most 32 code points with the white space around them; or up to 64 code points of a longer word (Chinese,
+#: Japanese, encoded data); or white space alone.
+UNIT = r"\s*(?:\S{1,32}+(?!\S)\s*){1,8}|\s*\S{1,64}\s*|\s+"
 
 
 def _hash(children: Column) -> Column:

@@ -137,6 +137,18 @@ def test_branches_locate_edits(spark):
     assert [tuple(x) for x in found["x"]] == [(0, 1), (1, 2)] and found["y"] == pytest.approx(2 * 3 / (4 + 5))
 
 
+def test_units_of_text_without_white_space(spark, make_docs):
+    rng = random.Random(6)
+    chinese = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000)) for _ in range(2)]
+    got = {r["doc_id"]: r for r in merkle.edited_likeness(make_docs([(1, chinese[0]), (2, chinese[1])])).collect()}
+    assert all(0.6 < r["near_edited"] < 0.7 and r["near_next"] == 0 for r in got.values())
+    # the units are the text, and words of usual length are cut as before
+    odd = [(i, t or "") for i, t in enumerate([*ODD, "word " * 20 + "x" * 100 + " end " + "y" * 33 + "z", "x" * 32 + " " + "x" * 33, "one two three four five six seven eight nine ten"])]
+    cut = spark.createDataFrame(odd, "i int, t string").selectExpr("t", f"regexp_extract_all(t, r'{merkle.UNIT}', 0) as u", "regexp_extract_all(t, r'\\s*(?:\\S+\\s*){1,8}|\\s+', 0) as v").collect()
+    assert all("".join(r["u"]) == r["t"] and all(len(u.strip()) <= 8 * 33 for u in r["u"]) for r in cut)
+    assert all(r["u"] == r["v"] for r in cut if max(map(len, r["t"].split()), default=0) <= 32)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
