@@ -45,7 +45,3 @@ def make_events(spark):
         return spark.createDataFrame(filled, T.StructType(EVENT_SCHEMA.fields))
 
     return build
-
-
-def values(df, *columns):
-    return [tuple(r[c] for c in columns) for r in df.collect()]

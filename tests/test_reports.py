@@ -9,7 +9,7 @@ from pagetally.params import ReportParams
 from pagetally.plans import content_requests as content
 from pagetally.plans import dashboard, journeys, popularity, score, statistics, traffic
 
-from conftest import values
+from helpers import values
 
 P = ReportParams(as_of=datetime(2024, 2, 1), interval=31, limit=10)
 DATES = P.replace(interval=-1, offset=-1, startdate="2024-01-01", enddate="2024-01-31")
