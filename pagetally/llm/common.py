@@ -146,12 +146,15 @@ def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _BYTE_SYMBOLS[data]
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of all texts: where each begins and ends, and the number of the first word of each text."""
+def words(data: np.ndarray, at: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of all texts: where each begins and ends, and the number of the first word of each text.
+
+    `outside` says of each byte value whether it stands between words.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(at), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~outside[data]
     begin, end = inside.copy(), inside.copy()
     edge = at[(at > 0) & (at < len(data))]
     before = inside[:-1].copy()

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, language, merkle, minhash, packing, repeats, shards, suffixes
+from . import bpe, centroids, decontaminate, html, language, licenses, merkle, middles, minhash, packing, repeats, shards, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = middles.restored(middles.fill_in_middle(table(spark, sf_dir, "documents")))
+    return samples.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_substrings": op2_substrings,
@@ -64,4 +77,7 @@ QUERIES = {
     "op8_suffix_arrays": op8_suffix_arrays,
     "op9_shards": op9_shards,
     "op10_decontamination": op10_decontamination,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_licenses": op12_licenses,
+    "op13_centroids": op13_centroids,
 }
