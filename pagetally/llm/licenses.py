@@ -23,6 +23,8 @@ GRAM = 3
 SHARE = 0.8
 #: Runs in one row, so that a very long document is several rows.
 PIECE = 1 << 14
+#: Runs of all templates up to which they are broadcast, some 16 MB; more are joined as Spark sees fit.
+BROADCAST_RUNS = 1 << 18
 
 #: Word bytes are small letters, digits and all above ASCII, once A-Z are made small.
 OUTSIDE = np.array([b < 0x80 and not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A) for b in range(256)])
@@ -133,6 +135,7 @@ def spans(docs: DataFrame, templates: list[Template]) -> DataFrame:
     parsed = [template_words(t) for t in templates]
     rows = [(int(h), i, at) for i, symbols in enumerate(parsed) for at, h in enumerate(signed(Runs(symbols).every(GRAM)))]
     places = spark.createDataFrame(rows, "hash long, template int, at long")
+    places = F.broadcast(places) if len(rows) <= BROADCAST_RUNS else places
     hits = runs(docs).select("doc_id", "key", "start", F.posexplode("hashes").alias("i", "hash")).join(places, "hash")
     place = F.col("start") + F.col("i")
     # rows that are repeated vote once
