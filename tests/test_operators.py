@@ -60,6 +60,32 @@ def test_exact_quantile(frame, uneven, share):
     assert percentile.exact_quantile(frame, [], "v", share, "q").first().q == rank([v for _, v, _ in uneven])
 
 
+def test_exact_quantiles_of_odd_values(spark):
+    odd = [0.0, -0.0, 1e-320, -1e-320, 1e308, -1e308, math.inf, -math.inf, math.nan, 1.0, math.nextafter(1.0, 0), math.nextafter(1.0, 2), 2.0**52 + 1, 3.5, -3.5, 1024.0, math.nextafter(1024.0, 0)]
+    rows = [(g, v) for g in ("a", None) for v in odd] + [("a", None), ("none", None)]
+    table = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    shares = {f"s{i}": i / len(odd) for i in range(len(odd) + 1)}
+    made = percentile.exact_quantiles(table, ["g"], "v", shares).collect()
+    ordered = sorted(odd, key=lambda v: (math.isnan(v), v))
+    assert {r.g for r in made} == {"a", None} and len(made) == 2
+    for row in made:
+        found = [row[f"s{i}"] for i in range(len(odd) + 1)]
+        assert [str(v + 0.0) for v in found] == [str(ordered[max(i, 1) - 1] + 0.0) for i in range(len(odd) + 1)]
+    digits = table.select("v", percentile.radix_digit(F.col("v")).alias("d")).filter("v is not null").orderBy("v").collect()
+    assert all(a.d <= b.d for a, b in zip(digits, digits[1:]))
+
+
+def test_quantile_of_a_hot_group_sorts_no_rows_together(spark):
+    """A million different values of one group: tasks get digits or the values of a digit, and nothing is dealt by ranges."""
+    n = 1_000_000
+    table = spark.range(0, n, 1, 8).select(F.lit("hot").alias("g"), ((F.col("id") * 7919 % n) / 1000.0).alias("v"))
+    made = percentile.exact_quantile(table, ["g"], "v", 0.75, "q")
+    assert made.first().q == (math.ceil(n * 0.75) - 1) / 1000.0
+    assert "rangepartitioning" not in made._jdf.queryExecution().toString()
+    digits = table.groupBy(percentile.radix_digit(F.col("v")).alias("d")).count()
+    assert digits.count() < 400_000 and digits.agg(F.max("count")).first()[0] < 100
+
+
 def test_sketch_is_within_its_rank_error(frame, uneven):
     ordered = sorted(v for _, v, _ in uneven)
     found = frame.agg(metrics.quantile(F.col("v"), 0.75).alias("q")).first().q
