@@ -536,7 +536,8 @@ def experiments(name: str, trial: str, converting: str, threshold: int) -> None:
   c_views AS control_experimentations, hits AS variant_conversions, c_hits AS control_conversions,
   round(rate, 6) AS variant_conversion_rate, round(c_rate, 6) AS control_conversion_rate, topurl,
   strftime(t95, {SECONDS}) || '+00' AS time95, strftime(t5, {SECONDS}) || '+00' AS time5,
-  round(p, 6) AS pooled_sample_proportion, round(se, 6) AS pooled_standard_error, round((rate - c_rate) / se, 6) AS test,
+  round(p, 6) AS pooled_sample_proportion, round(se, 6) AS pooled_standard_error,
+  round(sqrt(p * (1 - p) * (1 / nullif(views, 0) + 1 / nullif(c_views, 0))), 6) AS pooled_standard_error_std, round((rate - c_rate) / se, 6) AS test,
   round({phi('-abs((rate - c_rate) / se)')}, 6) AS p_value,
   {half_up(f'max(tdiff) OVER e * {threshold} / (c_hit_events + sum(hit_events) OVER e) - max(tdiff) OVER e')} AS remaining_runtime
 FROM tested WINDOW e AS (PARTITION BY experiment)""", *ctes)

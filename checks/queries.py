@@ -13,6 +13,7 @@ from pagetally.functions import filters, metrics, sql
 from pagetally.functions import fixed_values as fixed
 from pagetally.functions.timeframe import as_instant, instant_text, time_range, truncate
 from pagetally.operators import access, ordering, percentile, popularity, scan, slots
+from pagetally.operators.intervals import interval_join
 from pagetally.operators.materialise import materialise
 from pagetally.params import ReportParams
 from pagetally.plans import (
@@ -262,11 +263,10 @@ def named_intervals(spark, sf_dir):
 
 @query
 def range_join_intervals(spark, sf_dir):
-    """The interval of every event, by a range join with the interval rows."""
+    """The interval of every event, by an interval join with the interval rows."""
     ev = events(spark, sf_dir)
-    named = slots.named_intervals("2024-01-05,five,2024-01-15,fifteen", P)
-    inside = (F.col("time") >= F.col("interval_start")) & (F.col("time") < F.col("interval_end"))
-    joined = ev.join(F.broadcast(slots.interval_table(spark, named)), inside, "left")
+    named = slots.interval_table(spark, slots.named_intervals("2024-01-05,five,2024-01-15,fifteen", P))
+    joined = interval_join(ev, named, "time", "interval_start", "interval_end", 7 * 86_400e6, "left")
     return joined.groupBy("interval_name", "checkpoint").agg(F.count(F.lit(1)).alias("events"))
 
 

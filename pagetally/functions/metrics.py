@@ -84,6 +84,12 @@ def pooled_error(share: Column, size_a: Column, size_b: Column) -> Column:
     return F.when(inside >= 0, F.sqrt(inside))
 
 
+def pooled_error_std(share: Column, size_a: Column, size_b: Column) -> Column:
+    """The same by the textbook: sqrt(p(1 - p)(1/a + 1/b))."""
+    one = F.lit(1.0)
+    return F.sqrt(share * (1 - share) * (F.try_divide(one, size_a) + F.try_divide(one, size_b)))
+
+
 def letter(score: Column) -> Column:
     """School mark of a score; a missing score is an F."""
     return (

@@ -96,7 +96,7 @@ def delivery_parts(df: DataFrame, *order: Column | str, max_bytes: int = int(fix
     """
     session = df.sparkSession
     ranges = int(session.conf.get("spark.sql.shuffle.partitions"))
-    sized = df.withColumn("_size", F.length(F.to_json(F.struct("*"))))
+    sized = df.withColumn("_size", F.octet_length(F.to_json(F.struct("*"))))
     laid = sized.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     located = materialise(laid.withColumn("_at", F.monotonically_increasing_id())).withColumn(
         "_range", F.shiftright("_at", _POSITION_BITS)

@@ -73,7 +73,8 @@ def experiments(
     )
     paired = paired.withColumn("pooled_sample_proportion", share)
     error = metrics.pooled_error(F.col("pooled_sample_proportion"), F.col("views"), F.col("c_views"))
-    paired = paired.withColumn("pooled_standard_error", error).withColumn(
+    textbook = metrics.pooled_error_std(F.col("pooled_sample_proportion"), F.col("views"), F.col("c_views"))
+    paired = paired.withColumn("pooled_standard_error", error).withColumn("pooled_standard_error_std", textbook).withColumn(
         "test", F.try_divide(F.col("rate") - F.col("c_rate"), F.col("pooled_standard_error"))
     )
     days = F.max("tdiff").over(whole)
@@ -88,7 +89,7 @@ def experiments(
         F.col("hits").alias("variant_conversions"), F.col("c_hits").alias("control_conversions"),
         F.col("rate").alias("variant_conversion_rate"), F.col("c_rate").alias("control_conversion_rate"),
         "topurl", instant_text(F.col("t95")).alias("time95"), instant_text(F.col("t5")).alias("time5"),
-        "pooled_sample_proportion", "pooled_standard_error", "test",
+        "pooled_sample_proportion", "pooled_standard_error", "pooled_standard_error_std", "test",
         metrics.normal_cdf(-F.abs("test")).alias("p_value"),
         metrics.to_int(F.try_divide(days * threshold, reached) - days).alias("remaining_runtime"),
     ).orderBy("experiment", "variant")

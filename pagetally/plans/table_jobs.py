@@ -127,23 +127,48 @@ def update_domain_info(
     return snapshots.write(upserted(info, changes), path, base)
 
 
+def batch_name(batch: DataFrame) -> str:
+    """A name for the rows of a batch, whatever their order: their count and sums of two hashes of each."""
+    # hashes go past nulls, so where they stand is hashed too
+    columns = [*sorted(batch.columns), *[F.col(c).isNull() for c in sorted(batch.columns)]]
+    row = batch.agg(
+        F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(1), *columns).cast("decimal(38,0)"))
+    ).first()
+    return "-".join(str(x or 0).replace("-", "m") for x in row)
+
+
 def add_audits(spark: SparkSession, path: str, keys: DataFrame, p: ReportParams, audits: DataFrame) -> DataFrame:
-    """Append a batch of audit scores and report how often each of its rows is stored.
+    """Store a batch of audit scores and report how often each of its rows is stored.
 
-    A row is let in when the caller's read-write key is global or is for exactly its url.
+    A row is let in when the caller's read-write key is global or is for exactly its url. Rows lie in a partition for each
+    audit and batch; a batch is named by its content and replaces its own partitions, so that one that is sent
+    again, by a job that was retried or by its caller, is stored once. Other batches of the same audit stay. Only the
+    partitions of the batch's audits, some few references, are read back.
     """
     open_to = live_keys(keys, p.domainkey or "", p).filter(~F.col("readonly")).select("hostname_prefix").distinct()
     if may_change(keys, p.domainkey or "", p, only_global=True):
         allowed = audits
     else:
         allowed = audits.join(open_to, audits["url"] == open_to["hostname_prefix"], "left_semi")
-    allowed.select(*AUDIT_SCHEMA.names).write.mode("append").partitionBy("device_type").parquet(path)
-    stored = spark.read.schema(AUDIT_SCHEMA).parquet(path)
-    batch = audits.select("url", "time", "audit_ref", "device_type").distinct()
-    counted = stored.join(batch, batch.columns, "left_semi").groupBy("url", "device_type", "time", "audit_ref").agg(
-        F.count(F.lit(1)).alias("number_of_row_instances")
-    )
+    batch = allowed.select(*AUDIT_SCHEMA.names)
+    batch.withColumn("batch", F.lit(batch_name(batch))).hint("rebalance", "audit_ref").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("audit_ref", "batch").parquet(path)
+    references = [r[0] for r in audits.select("audit_ref").distinct().collect()]
+    stored = stored_audits(spark, path, references)
+    identity = ["url", "time", "audit_ref", "device_type"]
+    counted = stored.join(audits.select(*identity).distinct(), identity, "left_semi").groupBy(
+        "url", "device_type", "time", "audit_ref"
+    ).agg(F.count(F.lit(1)).alias("number_of_row_instances"))
     return counted.select(
         F.lit(fixed.AUDIT_STORED).alias("status"), "url", "device_type", "time", "audit_ref",
         "number_of_row_instances",
     )
+
+
+def stored_audits(spark: SparkSession, path: str, references: list[str] | None = None) -> DataFrame:
+    """Stored audit scores; of some audits only, by their partitions, if references are named."""
+    stored = spark.read.schema(T.StructType([*AUDIT_SCHEMA.fields, T.StructField("batch", T.StringType())])).parquet(path)
+    if references is not None:
+        stored = stored.filter(F.col("audit_ref").isin(references))
+    return stored.drop("batch")

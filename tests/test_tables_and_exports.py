@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 from pathlib import Path
 
@@ -73,6 +74,56 @@ def test_a_lost_job_blocks_nobody(spark, keys):
     assert snapshots.read(spark, keys, files.KEY_SCHEMA).count() == 3
 
 
+@pytest.mark.parametrize("step", ["_noted", "_publish", "_expire"])
+def test_a_job_may_die_at_any_step(spark, keys, monkeypatch, step):
+    base = snapshots.newest(spark, keys)
+    table = snapshots.read(spark, keys, files.KEY_SCHEMA, base)
+
+    def dies(*_):
+        raise KeyboardInterrupt(step)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(snapshots, step, dies)
+        with pytest.raises(KeyboardInterrupt):
+            snapshots.write(table.limit(1), keys, base)
+    done = step == "_expire"
+    assert snapshots.newest(spark, keys) == base + done
+    assert snapshots.read(spark, keys, files.KEY_SCHEMA).count() == (1 if done else 4)
+    snapshots.write(table.limit(3), keys, base + done)
+    assert snapshots.read(spark, keys, files.KEY_SCHEMA).count() == 3
+    left = {"_noted": 1, "_publish": 2, "_expire": 0}[step]
+    assert snapshots.tidy(spark, keys) == [] and len(snapshots.tidy(spark, keys, -60)) == left
+    assert snapshots.read(spark, keys, files.KEY_SCHEMA).count() == 3
+
+
+def test_an_empty_marker_publishes_nothing_and_locks_nothing(spark, keys):
+    base = snapshots.newest(spark, keys)
+    Path(keys, f"snapshot={base + 1:08d}").touch()
+    table = snapshots.read(spark, keys, files.KEY_SCHEMA)
+    assert table.count() == 4 and snapshots.newest(spark, keys) == base
+    snapshots.write(table.limit(2), keys, base)
+    assert snapshots.newest(spark, keys) == base + 2 and snapshots.read(spark, keys, files.KEY_SCHEMA).count() == 2
+    with pytest.raises(RuntimeError, match="another job"):
+        snapshots.write(table.limit(1), keys, base)
+
+
+def test_of_many_jobs_at_once_one_publishes(spark, keys):
+    base = snapshots.newest(spark, keys)
+    table = snapshots.read(spark, keys, files.KEY_SCHEMA, base)
+
+    def job(n):
+        try:
+            snapshots.write(table.limit(n), keys, base)
+        except RuntimeError:
+            return None
+        return n
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [n for n in pool.map(job, (1, 2, 3, 4)) if n is not None]
+    assert len(won) == 1 and snapshots.newest(spark, keys) == base + 1
+    assert snapshots.read(spark, keys, files.KEY_SCHEMA).count() == won[0]
+
+
 def test_of_two_jobs_on_one_base_the_later_fails(spark, keys):
     base = snapshots.newest(spark, keys)
     first, second = (snapshots.read(spark, keys, files.KEY_SCHEMA, base) for _ in range(2))
@@ -116,8 +167,38 @@ def test_audits_are_appended_for_the_key_s_own_url(spark, keys, tmp_path):
         [(u, *scores, "mobile", "2024-01-01", "r") for u in ("a.com", "z.com")], table_jobs.AUDIT_SCHEMA
     )
     for _ in range(2):
+        # a batch that is sent again is stored once
         made = table_jobs.add_audits(spark, path, table, P.replace(domainkey="a"), batch)
-    assert [(r.url, r.number_of_row_instances) for r in made.collect()] == [("a.com", 2)]
+        assert [(r.url, r.number_of_row_instances) for r in made.collect()] == [("a.com", 1)]
+    # the same row in another batch, and twice in it, is not the same batch
+    row = batch.filter("url = 'a.com'")
+    made = table_jobs.add_audits(spark, path, table, P.replace(domainkey="a"), row.union(row))
+    assert [(r.url, r.number_of_row_instances) for r in made.collect()] == [("a.com", 3)]
+
+
+def test_batches_are_told_apart_by_their_rows(spark):
+    def name(*rows):
+        return table_jobs.batch_name(spark.createDataFrame(rows, "a double, b double, c string").repartition(2))
+
+    rows = [(0.5, None, "x"), (None, 0.5, "x"), (None, None, None)]
+    assert name(*rows) == name(*reversed(rows))
+    names = [name(*rows), name(rows[0]), name(rows[1]), name(rows[0], rows[0]), name(rows[0], rows[1]), name(rows[2]), name(rows[2], rows[2])]
+    assert len(set(names)) == len(names)
+
+
+def test_audits_are_read_back_by_partition(spark, keys, tmp_path):
+    table, path = snapshots.read(spark, keys, files.KEY_SCHEMA), str(tmp_path / "audits")
+    scores = [0.5] * len(table_jobs.AUDIT_SCORES)
+    for ref in ("r1", "r2", "r3", None):
+        batch = spark.createDataFrame([("a.com", *scores, "mobile", "2024-01-01", ref)], table_jobs.AUDIT_SCHEMA)
+        made = table_jobs.add_audits(spark, path, table, P.replace(domainkey="a"), batch).collect()
+        # a row without a reference is stored, but no reference finds it
+        assert [(r.audit_ref, r.number_of_row_instances) for r in made] == ([(ref, 1)] if ref else [])
+    one = table_jobs.stored_audits(spark, path, ["r2"])
+    assert [r.audit_ref for r in one.collect()] == ["r2"]
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().get("numPartitions").get().value() == 1
+    assert table_jobs.stored_audits(spark, path).count() == 4
 
 
 # ---- files
