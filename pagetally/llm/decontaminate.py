@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Runs, chunks, forget, small_batches, word_symbols, words, written
+from .common import Runs, chunks, forget, mixed, small_batches, word_symbols, words, written
 from .ordering import dealt_in_order, with_positions
 
 #: Words of a shingle, and the similarity from which a passage counts as the item's.
@@ -28,6 +28,8 @@ RADIUS = 19
 BLOCKS, BITS = 4, 16
 #: Items that are looked for in one pass over the documents, and their bytes, so what is broadcast stays bounded.
 ITEMS, ITEM_BYTES = 1000, 4 << 20
+#: Shingles of windows that are fingerprinted together.
+STRETCH = 1 << 16
 
 #: A-Z made small, ASCII punctuation a space; letters and digits of all scripts kept.
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -93,14 +95,18 @@ class Items:
         return [i for i, item in enumerate(self.parsed) if item[0] >= SHINGLE]
 
     @cached_property
-    def short(self) -> dict[bytes, list[int]]:
-        """Items of too few words for a shingle, by their whole sequence."""
-        found: dict[bytes, list[int]] = {}
+    def short(self) -> dict[int, dict[bytes, list[int]]]:
+        """Items of too few words for a shingle, by their number of words and their whole sequence."""
+        found: dict[int, dict[bytes, list[int]]] = {}
         for i, item in enumerate(self.parsed):
             if 0 < item[0] < SHINGLE:
-                found.setdefault(item[3], []).append(i)
+                found.setdefault(item[0], {}).setdefault(item[3], []).append(i)
         return found
 
+    @cached_property
+    def short_hashes(self) -> dict[int, np.ndarray]:
+        return {n: np.unique(np.concatenate([Runs(np.frombuffer(key, np.uint64)).every(n) for key in items])) for n, items in self.short.items()}
+
     @cached_property
     def lengths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All shingles, rising, and where their item lengths lie: the different lengths of the items that hold each."""
@@ -109,6 +115,13 @@ class Items:
         unique, first = np.unique(keys[:, 0], return_index=True)
         return unique, np.append(first, len(keys)), keys[:, 1].astype(np.int64)
 
+    @cached_property
+    def slots(self) -> dict[int, np.ndarray]:
+        """Of each item length the numbers of the shingles that such items hold."""
+        _, firsts, lengths = self.lengths
+        of = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+        return {int(n): of[lengths == n] for n in np.unique(lengths)}
+
     @cached_property
     def maybe(self) -> np.ndarray:
         """Quick test on the top bits of a shingle."""
@@ -160,10 +173,7 @@ class Items:
         """Of the texts in data: (text, item) and the best of its windows: (similarity, begin, words, bits that differ)."""
         found: dict[tuple[int, int], tuple[float, int, int, int]] = {}
         symbols, sizes, starts = plain_words(data, at)
-        if self.short:
-            for doc in np.flatnonzero((np.diff(starts) > 0) & (np.diff(starts) < SHINGLE)).tolist():
-                for item in self.short.get(symbols[starts[doc]:starts[doc + 1]].tobytes(), ()):
-                    found[doc, item] = 1.0, 0, int(starts[doc + 1] - starts[doc]), 0
+        self.look_for_short(symbols, starts, found)
         if not self.long or len(symbols) < SHINGLE:
             return found
         hashes, weights = shingles(symbols, sizes)
@@ -177,38 +187,71 @@ class Items:
         hit, slot, doc = hit[inside], slot[inside], doc[inside]
         if not len(hit):
             return found
-        # every window of those lengths that holds the shingle; a shorter text is one window
-        many = firsts[slot + 1] - firsts[slot]
-        length = lengths[np.repeat(firsts[slot] - np.cumsum(many) + many, many) + np.arange(many.sum())]
-        hit, doc = np.repeat(hit, many), np.repeat(doc, many)
-        length = np.minimum(length, starts[doc + 1] - starts[doc])
-        low = np.maximum(starts[doc], hit + SHINGLE - length)
-        high = np.minimum(hit, starts[doc + 1] - length)
-        many = high - low + 1
-        begin = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-        size = np.repeat(length, many)
-        most = int(size.max()) + 1
-        both = np.unique(begin * most + size)
-        begin, size = both // most, both % most
-        # only shingles within some window
-        change = np.zeros(len(hashes) + 1, np.int32)
-        np.add.at(change, begin, 1)
-        np.add.at(change, begin + size - SHINGLE + 1, -1)
-        used = np.cumsum(change[:-1]) > 0
-        slim = np.concatenate(([0], np.cumsum(used)))
-        prints = fingerprints(hashes[used], weights[used], slim[begin], slim[begin + size - SHINGLE + 1])
-        documents = np.searchsorted(starts, begin, "right") - 1
-        for w, item, apart in self.near(prints):
-            b, n, d = int(begin[w]), int(size[w]), int(documents[w])
-            ours = weighed(hashes[b:b + n - SHINGLE + 1], weights[b:b + n - SHINGLE + 1])
-            alike = similarity(ours, self.weights[item])
-            if alike >= least:
-                best = found.get((d, item))
-                place = b - int(starts[d])
-                if best is None or (-alike, place) < (-best[0], best[1]):
-                    found[d, item] = alike, place, n, apart
+        known_weight = np.concatenate(([0], np.cumsum(weights[hit])))
+        total = np.concatenate(([0], np.cumsum(weights)))
+        of_length = np.zeros(len(known), bool)
+        places = Runs(symbols)
+        seen = np.unique(slot)
+        for length in np.unique(np.concatenate([lengths[firsts[x]:firsts[x + 1]] for x in seen])).tolist():
+            of_length[:] = False
+            of_length[self.slots[length]] = True
+            mine = of_length[slot]
+            at_hit, at_doc = hit[mine], doc[mine]
+            # every window of that length that holds such a shingle, once; a shorter text is one window
+            size = np.minimum(length, starts[at_doc + 1] - starts[at_doc])
+            low, high = np.maximum(starts[at_doc], at_hit + SHINGLE - size), np.minimum(at_hit, starts[at_doc + 1] - size)
+            low[1:] = np.maximum(low[1:], np.maximum.accumulate(high)[:-1] + 1)
+            many = np.maximum(high - low + 1, 0)
+            begin = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            size, of = np.repeat(size, many), np.repeat(at_doc, many)
+            # what is in common with an item is of known shingles, so these must weigh `least` of the window
+            end = begin + size - SHINGLE + 1
+            common = known_weight[np.searchsorted(hit, end)] - known_weight[np.searchsorted(hit, begin)]
+            good = common >= (least - 1e-9) * (total[end] - total[begin])
+            begin, size, of = begin[good], size[good], of[good]
+            # of windows with the same words in the same text the first
+            same = mixed(places.hashes(begin, begin + size) + mixed(of.astype(np.uint64)))
+            first = np.sort(np.unique(same, return_index=True)[1])
+            self.compare(hashes, weights, begin[first], size[first], of[first], starts, least, found)
         return found
 
+    def look_for_short(self, symbols: np.ndarray, starts: np.ndarray, found: dict) -> None:
+        """Items without a shingle, at the first place where their words stand."""
+        for n, items in self.short.items():
+            runs = Runs(symbols).every(n)
+            at = np.flatnonzero(np.isin(runs, self.short_hashes[n]))
+            doc = np.searchsorted(starts, at, "right") - 1
+            inside = at + n <= starts[doc + 1]
+            at, doc = at[inside], doc[inside]
+            # places with the same words in the same text, but for the first, say nothing new
+            first = np.sort(np.unique(mixed(runs[at] + mixed(doc.astype(np.uint64))), return_index=True)[1])
+            for place, d in zip(at[first].tolist(), doc[first].tolist()):
+                for item in items.get(symbols[place:place + n].tobytes(), ()):
+                    found.setdefault((d, item), (1.0, place - int(starts[d]), n, 0))
+
+    def compare(self, hashes: np.ndarray, weights: np.ndarray, begin: np.ndarray, size: np.ndarray, of: np.ndarray, starts: np.ndarray, least: float, found: dict) -> None:
+        """Fingerprint windows, look up items near them and keep the best of what is alike; STRETCH shingles at a time."""
+        part = np.cumsum(size) // STRETCH
+        for edge in np.flatnonzero(np.diff(part, prepend=-1)).tolist():
+            until = int(np.searchsorted(part, part[edge], "right"))
+            b, n = begin[edge:until], size[edge:until] - SHINGLE + 1
+            # only shingles within some window
+            used = np.zeros(int((b + n).max() - b[0]) + 1, np.int32)
+            np.add.at(used, b - b[0], 1)
+            np.add.at(used, b - b[0] + n, -1)
+            inside = np.flatnonzero(np.cumsum(used[:-1]) > 0)
+            slim = np.searchsorted(inside, b - b[0])
+            prints = fingerprints(hashes[b[0] + inside], weights[b[0] + inside], slim, slim + n)
+            for w, item, apart in self.near(prints):
+                at, shingled, d = int(b[w]), int(n[w]), int(of[edge + w])
+                ours = weighed(hashes[at:at + shingled], weights[at:at + shingled])
+                alike = similarity(ours, self.weights[item])
+                if alike >= least:
+                    best = found.get((d, item))
+                    place = at - int(starts[d])
+                    if best is None or (-alike, place) < (-best[0], best[1]):
+                        found[d, item] = alike, place, shingled + SHINGLE - 1, apart
+
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
     """The items in blocks of at most ITEMS items and about ITEM_BYTES bytes; items without text are none."""
@@ -232,8 +275,8 @@ def contaminated(
     """(doc_id, item_id, begin, n_words, distance, similarity): the best window of each document for each item it holds.
 
     Words are split at white space and ASCII punctuation, A-Z count as small. A window has as many words as the item; a
-    shorter document is one window. Of equally similar windows the first counts. Items or documents of fewer than five
-    words match when their words are all the same. A null or empty text, or item, matches nothing; repeated rows and
+    shorter document is one window. Of equally similar windows the first counts. Items of fewer than five words match
+    where their words stand in a row; documents of fewer than five words hold no longer item. A null or empty text, or item, matches nothing; repeated rows and
     items of the same text are reported each; null ids stay null. Other columns are not read. Nothing of the documents
     is shuffled; a benchmark beyond a block (ITEMS items, ITEM_BYTES bytes) takes one pass over them for each block.
     """

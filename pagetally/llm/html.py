@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -115,6 +116,11 @@ def blocks(page: str) -> list[Block]:
     links = outside = inside = marks = raised = items = 0
     heading = False
     done = 0
+    # so that no search goes twice over what is open or to the page's end: open elements by name, places of those at which
+    # the search for an open p ends, and names without an end tag further on
+    is_open: Counter[str] = Counter()
+    stops: list[int] = []
+    endless: set[str] = set()
 
     def close_block() -> None:
         nonlocal parts, linked_parts
@@ -136,6 +142,9 @@ def blocks(page: str) -> list[Block]:
         nonlocal links, inside, outside, marks, raised, items, heading
         while len(open_tags) > i:
             name, within, without, marked, lifted = open_tags.pop()
+            is_open[name] -= 1
+            if stops and stops[-1] == len(open_tags):
+                stops.pop()
             links -= name == "a"
             items -= name in ITEMS
             inside -= within
@@ -154,7 +163,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in SILENT:
             if not token[1] and not token[3].endswith("/"):
-                end = _ENDS[name].search(page, done)
+                end = None if name in endless else _ENDS[name].search(page, done)
+                if end is None:
+                    endless.add(name)
                 if end or name in RAW:
                     done = position = end.end() if end else len(page)
             parts.append(" ")
@@ -165,18 +176,15 @@ def blocks(page: str) -> list[Block]:
                 continue
             close_block()
         if token[1]:
+            if not is_open[name]:
+                continue
             for i in range(len(open_tags) - 1, -1, -1):
                 if open_tags[i][0] == name:
                     pop_to(i)
                     break
             continue
-        if name in CLOSES_P:
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == "p":
-                    pop_to(i)
-                    break
-                if open_tags[i][0] in CLOSES_P:
-                    break
+        if name in CLOSES_P and stops and open_tags[stops[-1]][0] == "p":
+            pop_to(stops[-1])
         if name in VOID or token[3].endswith("/"):
             continue
         marked, hidden = _marks(token[3]) if token[3] and name not in ("html", "body") else (False, False)
@@ -188,6 +196,9 @@ def blocks(page: str) -> list[Block]:
             # a header within the article is its heading, but a form or a menu is not
             without = hidden or without and name != "form" and not (name == "header" and inside and not marked)
             marked |= name == "form"
+        is_open[name] += 1
+        if name in CLOSES_P:
+            stops.append(len(open_tags))
         open_tags.append((name, within, without, marked, lifted))
         links += name == "a"
         items += name in ITEMS

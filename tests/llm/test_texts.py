@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -265,6 +266,13 @@ def test_broken_markup_never_fails():
         html.main_text(page)
 
 
+def test_broken_markup_takes_time_in_proportion():
+    for page in ("<b>" * 60_000 + "</i>" * 60_000, "<p><div>" + "<b>" * 60_000 + "<hr>" * 60_000, "<svg>" * 60_000, "<p>" + "<b>" * 60_000 + "<div></div>" * 60_000):
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 5, page[:20]
+
+
 def brute_decontamination(rows, items):
     plain = bytes(decontaminate._PLAIN)
     def parts(t):
@@ -282,10 +290,12 @@ def brute_decontamination(rows, items):
             v = parts(u)
             if not v or not w:
                 continue
-            if len(v) < 5 or len(w) < 5:
-                if w == v:
+            if len(v) < 5:
+                if any(w[b:b + len(v)] == v for b in range(len(w) - len(v) + 1)):
                     yield i, item, 1.0
                 continue
+            if len(w) < 5:
+                continue
             n = min(len(v), len(w))
             target = bag(v)
             best = 0.0
@@ -300,8 +310,8 @@ def brute_decontamination(rows, items):
 def test_decontamination(spark, make_docs, corpus):
     rng = random.Random(5)
     items = [(k, " ".join(f"q{rng.randrange(3000)}" for _ in range(rng.randrange(15, 60)))) for k in range(12)]
-    items += [(20, None), (21, ""), (22, "one"), (23, items[3][1]), (24, "Two, words!")]
-    rows = list(corpus) + [(165, "one two")]
+    items += [(20, None), (21, ""), (22, "one"), (23, items[3][1]), (24, "Two, words!"), (25, "how many are there"), (26, "How many, are"), (27, "how many are there")]
+    rows = list(corpus) + [(165, "one two"), (380, "He asked: how many are there? How many? " + corpus[0][1]), (381, corpus[1][1] + " how many are"), (382, "there how many are")]
     for k in range(10):
         w = items[k][1].split()
         w[0 if k % 2 else -1] = "edited"
@@ -319,6 +329,18 @@ def test_decontamination(spark, make_docs, corpus):
     assert decontaminate.contaminated(make_docs(rows), benchmark.limit(0)).count() == 0
 
 
+def test_a_hot_shingle_costs_no_more_than_its_text():
+    """Items of many lengths that begin alike, and a document that repeats their beginning and holds one of them."""
+    six = "alpha beta gamma delta epsilon zeta"
+    texts = [six + " " + " ".join(f"i{k}w{j}" for j in range(10 + k)) for k in range(60)]
+    items = decontaminate.Items(list(range(60)), texts)
+    raw = np.frombuffer(((six + " ") * 20_000 + texts[7]).encode(), np.uint8)
+    began = time.perf_counter()
+    found = items.look(raw, np.array([0, len(raw)]), 0.8)
+    assert set(found) == {(0, 7)} and found[0, 7][:3] == (1.0, 120_000, 23)
+    assert time.perf_counter() - began < 5
+
+
 def test_benchmark_in_several_blocks(spark, make_docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 400)
     items = [(k, " ".join(f"b{k}x{j}" for j in range(12))) for k in range(20)]
