@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,16 +64,33 @@ class Model:
     probability: np.ndarray
 
 
+def equal_part(counts: list[int], most: int) -> int:
+    """How many of each so that all together are about `most`, where a count that is less leaves its rest to the others."""
+    part = most
+    for i, n in enumerate(sorted(counts)):
+        part = max(1, most // (len(counts) - i))
+        if n > part:
+            break
+        most -= n
+    return part
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
-    """Trigram counts of the rows with a language, or of an even share of about `train_docs` of them, chosen by hash of the id.
+    """Trigram counts of the rows with a language, or of about `train_docs` of them, chosen by hash of the id.
+
+    Languages with fewer rows than an equal part of `train_docs` are learned from all of them, the others share the rest
+    equally, so that a rare language is never lost.
 
     The model has BUCKETS numbers for each language, so its size depends on the languages alone.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    n = rows.count()
-    if n > train_docs:
-        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < (train_docs << 40) // n)
+    # a row for each language comes to the driver
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    most = equal_part(list(counts.values()), train_docs)
+    if any(n > most for n in counts.values()):
+        share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 40, (most << 40) // n))])
+        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -142,6 +160,8 @@ def shares(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     # each more language costs half the logarithm of the evidence
     cost = 0.5 * np.log(np.maximum(2.0, total[:, 0] * EVIDENCE))
     best, best_score = None, None
+    # texts whose last larger set was better; of the others none larger is tried, whatever stands beside them
+    going = np.ones(len(has), bool)
     floor = np.float32(1e-9)
     for size in range(1, k + 1):
         kept = np.zeros_like(pi)
@@ -155,10 +175,11 @@ def shares(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if best is None:
             best, best_score = kept, score
         else:
-            better = score > best_score
+            better = going & (score > best_score)
             if not better.any():
                 # larger sets only add languages of smaller shares
                 break
+            going = better
             best = np.where(better[:, None], kept, best)
             best_score = np.where(better, score, best_score)
     result[has] = best
@@ -205,17 +226,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
-def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language is known with at least that share; null texts are not among them."""
+def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose language is known with at least that share; null texts are not among them.
+
+    With `lang_col` a null there becomes the language that was found; what is stated stays.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
+    filled = None if lang_col is None else docs.columns.index(lang_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            good = [lang != UNKNOWN and score >= least for lang, score, _, _ in judged(shared.value, batch.column(place).fill_null(""))]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            found = [(lang, score) for lang, score, _, _ in judged(shared.value, batch.column(place).fill_null(""))]
+            good = pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_())
+            if filled is not None:
+                langs = batch.column(filled)
+                batch = batch.set_column(filled, batch.schema.field(filled), pc.coalesce(langs, pa.array([lang for lang, _ in found], langs.type)))
+            yield batch.filter(good)
 
     return docs.mapInArrow(keep, docs.schema)
 

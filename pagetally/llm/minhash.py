@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, Runs, chunks, forget, groups, mixed, signed, small_batches, texts, word_symbols, words, written
 from .components import components
 
-#: Minima, minima in a band, and low bits kept of each minimum.
-MINIMA, BAND, LOW = 64, 4, 4
+#: Minima, low bits kept of each minimum, and how many pairs at the threshold may share no band at most.
+MINIMA, LOW, MISSED = 64, 4, 1e-5
 #: An estimate this far below the threshold is ruled out: five deviations of it at the threshold.
 MARGIN = 0.23
 #: Documents, and shingles, of a block.
@@ -89,8 +89,19 @@ def estimate_column(a: Column, b: Column) -> Column:
     return (equal - chance) / (1 - chance)
 
 
-def sketches(rows: DataFrame, size: int) -> DataFrame:
+def missed(percent: int, width: int) -> float:
+    """The share of pairs of that similarity that agree in no band of `width` minima."""
+    return (1 - (percent / 100) ** width) ** (MINIMA // width)
+
+
+def band_width(percent: int) -> int:
+    """Minima in a band: as many, and so as few chance meetings, as MISSED allows; 4 at 85 percent, 3 at 80."""
+    return next((w for w in range(8, 1, -1) if missed(percent, w) <= MISSED), 1)
+
+
+def sketches(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, key, n, set_a, set_b, bands, signature): set_a and set_b tell sets apart, bands hash the minima in groups."""
+    width = band_width(percent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -100,7 +111,7 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
                 n = np.array([len(s) for s in sets])
                 has = np.flatnonzero(n)
                 ids = np.zeros((len(sets), 2), np.uint64)
-                bands = np.zeros((len(sets), MINIMA // BAND), np.uint64)
+                bands = np.zeros((len(sets), MINIMA // width), np.uint64)
                 signature = np.zeros((len(sets), MINIMA * LOW // 64), np.uint64)
                 if len(has):
                     full = [sets[i] for i in has]
@@ -109,9 +120,9 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
                         ids[has, i] = np.add.reduceat(mixed(joined + _SEEDS[i]), starts)
                     least = minima(full)
                     signature[has] = packed(least)
-                    grouped = least.reshape(len(has), -1, BAND)
+                    grouped = least[:, :MINIMA // width * width].reshape(len(has), -1, width)
                     hashed = np.zeros(grouped.shape[:2], np.uint64)
-                    for i in range(BAND):
+                    for i in range(width):
                         hashed = mixed(hashed + grouped[:, :, i])
                     bands[has] = hashed
                 yield pa.RecordBatch.from_arrays(
@@ -292,11 +303,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     (or text) a set is empty and linked with nothing. Rows of one doc_id are one document, linked with what any of its
     texts is linked with; a null id is linked with nothing and kept. Other columns are not read. An empty table gives no
     row. Candidates come from bands of minima: two documents at 85 percent miss all of them once in some 130,000 pairs,
-    at 80 percent once in some 5,000, and a group of copies is held together by all its links.
+    at 80 percent once in some 3,500,000, see `missed`, and a group of copies is held together by all its links.
     """
     small_batches(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
-    made = written(sketches(rows, size), "sketches")
+    made = written(sketches(rows, size, percent), "sketches")
     full = made.filter("n > 0 and doc_id is not null")
     classes = written(full.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc_id", "key", "bands", "signature")).alias("first")).select("set_a", "set_b", "n", "first.*"), "classes")
     joined = near_links(classes, rows.filter("doc_id is not null"), size, percent)

@@ -160,3 +160,19 @@ def test_empty_tables(make_docs):
     docs = make_docs([])
     for made in (minhash.near_duplicates(docs), repeats.remove_repeats(docs), suffixes.remove_repeated_bytes(docs), repeats.deduplicated(docs), minhash.one_of_each(docs)):
         assert made.count() == 0
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_planted_pairs_at_the_threshold_share_a_band(percent):
+    """2,000 pairs of sets of exactly that similarity."""
+    rng = np.random.default_rng(percent)
+    width = minhash.band_width(percent)
+    assert minhash.missed(percent, width) <= minhash.MISSED and {85: 4, 80: 3}[percent] == width
+    caught = 0
+    for _ in range(2000):
+        common, own = (170, 15) if percent == 85 else (160, 20)
+        hashes = rng.integers(0, 1 << 63, common + 2 * own, dtype=np.uint64)
+        a, b = minhash.minima([np.sort(hashes[:common + own]), np.sort(np.concatenate([hashes[:common], hashes[common + own:]]))])
+        equal = (a == b)[:minhash.MINIMA // width * width].reshape(-1, width)
+        caught += equal.all(1).any()
+    assert caught >= 1999

@@ -273,6 +273,35 @@ def test_broken_markup_takes_time_in_proportion():
         assert time.perf_counter() - began < 5, page[:20]
 
 
+def test_a_text_is_judged_alike_beside_any_others(spark):
+    rng = random.Random(8)
+    stock = {k: [f"{k}{''.join(rng.choice('abcdefghij' if k < 'n' else 'klmnopqrst') for _ in range(5))}" for _ in range(60)] for k in "bdgmprtw"}
+    rows = [(i, " ".join(rng.choice(stock[k]) for _ in range(60)), k) for i, k in enumerate("bdgmprtw" * 12)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(labelled)
+    mixtures = [" ".join(rng.choice(stock[rng.choice("bdgmprtw"[:n])]) for _ in range(80)) for n in (1, 2, 3, 5, 8) for _ in range(12)] + ["", "x", "12"]
+    together, _ = language.shares(model, mixtures)
+    for text, row in zip(mixtures, together):
+        alone, _ = language.shares(model, [text])
+        assert np.allclose(alone[0], row, atol=1e-5) and ((alone[0] > 0) == (row > 0)).all()
+
+
+def test_rare_languages_are_learned(spark):
+    assert language.equal_part([10, 10_000, 20_000], 1000) == 495 and language.equal_part([5, 7], 1000) >= 7 and language.equal_part([], 10) == 10
+    rows = [(i, f"frequent words number {i}", "en") for i in range(3000)] + [(5000 + i, f"seltene Wörter Nummer {i}", "de") for i in range(4)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=100)
+    assert model.languages == ("de", "en")
+
+
+def test_null_languages_are_filled(spark):
+    rows = [(i, "the house of the water and the wind", "en") for i in range(9)] + [(20, "das Haus und der Wind und das Wasser", "de"), (30, "the water of the house", None), (31, "der Wind und das Haus", None), (32, "12", None), (33, "the house", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs.filter("doc_id < 30"))
+    made = {r.doc_id: r.lang for r in language.identified(docs, model, 0.0, lang_col="lang").collect()}
+    assert (made[30], made[31], made[33]) == ("en", "de", "xx") and 32 not in made
+    assert {r.doc_id: r.lang for r in language.identified(docs, model, 0.0).collect()}[30] is None
+
+
 def brute_decontamination(rows, items):
     plain = bytes(decontaminate._PLAIN)
     def parts(t):
