@@ -133,6 +133,37 @@ UNION ALL SELECT hostname, checkpoint, count(*), {big('sum(pageviews)')}, round(
       WHERE url LIKE 'https://shop.example.org/p1%' AND user_agent LIKE 'mobile%' GROUP BY ALL)""",
     ev=events_cte())
 
+_older = "user_agent LIKE 'mobile%' AND time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'"
+_cluster = "hostname = 'blog.example.com' AND generation = 'gen-1' AND time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-02-01'"
+
+
+def _rolled(name: str, where: str, generation: str) -> str:
+    """Events, page views and checkpoints of a scan by host."""
+    rolls = {"events": "", "pageviews": "GROUP BY id", "checkpoints": "GROUP BY id, checkpoint, target, source"}
+    return " UNION ALL ".join(
+        f"SELECT '{name}{of}' AS of, hostname, generation, count(*) AS n, {big('sum(w)')} AS views FROM (SELECT "
+        + ("hostname, weight AS w" if of == "events" else "min(hostname) AS hostname, max(weight) AS w")
+        + f", {generation} AS generation FROM rum WHERE {where} {how}) GROUP BY ALL" for of, how in rolls.items()
+    )
+
+
+add("sql_older_scans", _rolled("", _older, "CAST(NULL AS VARCHAR)") + " UNION ALL " + _rolled("cluster ", _cluster, "'gen-1'"))
+ORACLES["sql_events_by_key"] = ORACLES["scan_by_key"]
+add("sql_rollups_by_key", " UNION ALL ".join(
+    f"SELECT '{name}' AS of, hostname, count(*) AS n, {big('sum(w)')} AS views FROM (SELECT min(hostname) AS hostname, max(weight) AS w FROM {of} GROUP BY {keys}) GROUP BY hostname"
+    for name, of, keys in (("rum_pageviews", "opened", "id"), ("rum_checkpoints", "opened", "id, checkpoint, target, source"),
+                           ("rum_pageviews_v3", "older", "id"), ("rum_checkpoints_v3", "older", "id, checkpoint, target, source"))),
+    """live AS (SELECT hostname_prefix AS p FROM keyrows WHERE secret = 'key-1' AND (revoke_date IS NULL OR revoke_date > DATE '2024-02-01')
+      AND (hostname_prefix = '' OR 'www.example.com' = hostname_prefix OR 'www.example.com' LIKE '%.' || hostname_prefix))""",
+    """opened AS (SELECT * FROM ev WHERE hostname = 'www.example.com' AND EXISTS (SELECT 1 FROM live
+      WHERE p = '' OR url LIKE 'https://' || p || '/%' OR url LIKE 'https://%.' || p || '/%'))""",
+    """older AS (SELECT * FROM rum WHERE hostname = 'www.example.com' AND time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-02-01' AND EXISTS (
+      SELECT 1 FROM live WHERE p = '' OR url LIKE 'https://' || p || '/%' OR url LIKE 'https://%.' || p || '/%'))""")
+add("events_of_two_collectors", f"""SELECT hostname, count(*) AS n, {big('sum(weight)')} AS views, count(CASE WHEN weight = 100 THEN ttfb END) AS readings,
+  count(lcp) AS lcps FROM ev WHERE time >= TIMESTAMP '2024-01-18' GROUP BY hostname""")
+add("events_on_days", """SELECT CAST(CAST(time AS DATE) AS VARCHAR) AS event_date, checkpoint, count(*) AS n FROM rum WHERE CAST(time AS DATE) IN (
+    SELECT CAST(time AS DATE) FROM rum WHERE checkpoint = 'click' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) GROUP BY 1, 2""")
+
 # ---- generated rows
 
 _grids = {
@@ -623,6 +654,8 @@ FROM doms d FULL JOIN domchanges c ON c.domain = d.domain""")
 add("add_audit_scores", """SELECT 'Lighthouse Data Successfully Uploaded' AS status, url, device_type, time, audit_ref,
   count(*) AS number_of_row_instances FROM auds GROUP BY url, device_type, time, audit_ref""")
 
+ORACLES["sql_key_privileges"] = ORACLES["key_privileges"]
+
 # ---- results
 
 add("nested_rows", """SELECT page_id, page_id % 2 = 0 AS is_admin,

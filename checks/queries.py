@@ -20,7 +20,7 @@ from pagetally.plans import (
     content_requests as content, dashboard as dash, journeys, popularity as popular, request_log, score,
     statistics, table_jobs, traffic,
 )
-from pagetally.sources import export, snapshots
+from pagetally.sources import export, files, snapshots
 from pagetally.sources.files import KEY_SCHEMA
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,6 +231,77 @@ def sql_functions(spark, sf_dir):
         FROM rum_checkpoints('shop.example.org/p1', {span}, 'mobile') GROUP BY hostname, checkpoint""")
 
 
+def _sql(spark, sf_dir):
+    views.rum(spark, sf_dir).createOrReplaceTempView("raw_rum_events")
+    views.keys(spark, sf_dir).createOrReplaceTempView("access_keys")
+    sql.register(spark, "raw_rum_events", "access_keys")
+
+
+@query
+def sql_older_scans(spark, sf_dir):
+    """The two older scans and their roll-ups as SQL table functions."""
+    _sql(spark, sf_dir)
+    older = "TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-20', 'mobile'"
+    cluster = "TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', 'all', 'gen-1'"
+    return spark.sql(f"""
+        SELECT 'events' AS of, hostname, CAST(NULL AS STRING) AS generation, count(*) AS n, CAST(sum(weight) AS BIGINT) AS views FROM rum_events_v3('-', {older}) GROUP BY hostname
+        UNION ALL SELECT 'pageviews', hostname, NULL, count(*), CAST(sum(pageviews) AS BIGINT) FROM rum_pageviews_v3('-', {older}) GROUP BY hostname
+        UNION ALL SELECT 'checkpoints', hostname, NULL, count(*), CAST(sum(pageviews) AS BIGINT) FROM rum_checkpoints_v3('-', {older}) GROUP BY hostname
+        UNION ALL SELECT 'cluster events', hostname, generation, count(*), CAST(sum(weight) AS BIGINT) FROM cluster_events('blog.example.com', {cluster}) GROUP BY hostname, generation
+        UNION ALL SELECT 'cluster pageviews', hostname, generation, count(*), CAST(sum(pageviews) AS BIGINT) FROM cluster_pageviews('blog.example.com', {cluster}) GROUP BY hostname, generation
+        UNION ALL SELECT 'cluster checkpoints', hostname, generation, count(*), CAST(sum(pageviews) AS BIGINT) FROM cluster_checkpoints('blog.example.com', {cluster}) GROUP BY hostname, generation""")
+
+
+@query
+def sql_events_by_key(spark, sf_dir):
+    """What a secret opens, by the keyed SQL table function."""
+    _sql(spark, sf_dir)
+    cases = [("key-1", "www.example.com"), ("key-1", "shop.example.org"), ("key-0", "www.example.com"), ("key-10", "-")]
+    return spark.sql(" UNION ALL ".join(f"""
+        SELECT '{secret}' AS secret, '{wanted}' AS wanted, hostname, count(*) AS n, count(DISTINCT id) AS ids FROM rum_events_keyed(
+            '{wanted}', TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', 'all', '{secret}', DATE '2024-02-01') GROUP BY hostname""" for secret, wanted in cases))
+
+
+@query
+def sql_rollups_by_key(spark, sf_dir):
+    _sql(spark, sf_dir)
+    taken = "'www.example.com', TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', 'all', 'key-1', DATE '2024-02-01'"
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{name}' AS of, hostname, count(*) AS n, CAST(sum(pageviews) AS BIGINT) AS views FROM {name}_keyed({taken}) GROUP BY hostname"
+        for name in ("rum_pageviews", "rum_checkpoints", "rum_pageviews_v3", "rum_checkpoints_v3")))
+
+
+@query
+def sql_key_privileges(spark, sf_dir):
+    _sql(spark, sf_dir)
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{secret}' AS secret, read, write FROM key_privileges('{secret}', DATE '2024-02-01')" for secret in ("key-0", "key-1", "key-10", "unknown")))
+
+
+@query
+def events_of_two_collectors(spark, sf_dir):
+    """Two written collectors, of which one has no TTFB, read as one table by date."""
+    rum, folder = views.rum(spark, sf_dir), views.scratch(spark)
+    first = F.coalesce(F.col("weight") == 100, F.lit(False))
+    files.write_events(rum.filter(first), f"{folder}/one")
+    files.write_events(rum.filter(~first).drop("ttfb"), f"{folder}/two")
+    ev = scan.events(files.read_events(spark, f"{folder}/one", f"{folder}/two"), P.replace(interval=14))
+    return ev.groupBy("hostname").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("views"), F.count("ttfb").alias("readings"), F.count("lcp").alias("lcps")
+    )
+
+
+@query
+def events_on_days(spark, sf_dir):
+    """Events of the days with most clicks, which are rows of another table: only their partitions are read."""
+    folder = views.scratch(spark)
+    files.write_events(views.rum(spark, sf_dir), folder)
+    raw = files.read_events(spark, folder)
+    clicks = raw.filter("checkpoint = 'click'").groupBy("event_date").agg(F.count(F.lit(1)).alias("clicks"))
+    days = ordering.top(clicks, 5, "clicks", "event_date")
+    return scan.on_days(raw, days, "event_date").groupBy("event_date", "checkpoint").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- generated rows
 
 @query

@@ -23,6 +23,15 @@ def in_range(raw: DataFrame, span: TimeRange) -> DataFrame:
     return rows
 
 
+def on_days(raw: DataFrame, days: DataFrame, column: str) -> DataFrame:
+    """Rows of a table partitioned by ``event_date`` on days that are rows of another table.
+
+    A semi-join on the partition column: Spark reads only the partitions of those days, which it learns as the query runs.
+    """
+    wanted = days.filter(F.col(column).between("0001-01-01", "9999-12-31")).select(F.col(column).cast("date").alias("_day"))
+    return raw.join(wanted, F.col("event_date") == F.col("_day"), "left_semi")
+
+
 def _filtered(raw: DataFrame, p: ReportParams, span: TimeRange, *more) -> DataFrame:
     rows = in_range(raw, span)
     predicate = filters.all_of(

@@ -1,7 +1,7 @@
 """Results as CSV text and as JSON sheets."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,10 +45,22 @@ def csv_lines(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Part files that together, in order of their names, are the CSV text: header first, then the rows
-    in the order of ``df``. A result without rows gives no header either."""
-    lines = csv_lines(df)
-    header = df.sparkSession.range(1).where(lines.exists()).select(F.lit(",".join(df.columns)).alias("line"))
-    header.unionByName(lines).write.mode("errorifexists").text(path)
+    in the order of ``df``. A result without rows gives no header either.
+
+    ``df`` is evaluated once: its rows are counted as they are written, and the header is added after them.
+    """
+    seen = Observation()
+    csv_lines(df).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").text(path)
+    if not seen.get["n"]:
+        return
+    spark = df.sparkSession
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = made(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # sorts before all numbers of parts; under a name that is not read until it is whole
+    stream = files.create(made(f"{path}/_header"), True)
+    stream.write(bytearray((",".join(df.columns) + "\n").encode()))
+    stream.close()
+    files.rename(made(f"{path}/_header"), made(f"{path}/part--header.txt"))
 
 
 def sheet_rows(df: DataFrame) -> DataFrame:

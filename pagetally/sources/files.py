@@ -43,7 +43,9 @@ def write_events(ev: DataFrame, path: str, mode: str = "append") -> None:
     A range layout splits a busy day or host over several files, and the order lets a filter on
     host and time skip row groups.
     """
-    dated = ev.withColumn("event_date", F.to_date("time"))
+    # of the instant in UTC, whatever the zone of the session
+    day = F.date_from_unix_date(F.floor(F.unix_micros("time") / 86_400_000_000).cast("int"))
+    dated = ev.withColumn("event_date", day)
     order = ["event_date", "hostname", "time"]
     dated.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option(
         "maxRecordsPerFile", ROWS_PER_FILE

@@ -215,6 +215,31 @@ def test_events_are_read_from_both_collectors_and_pruned(spark, make_events, tmp
     assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters: [IsNotNull(time)" in plan
 
 
+def test_days_are_those_of_utc_whatever_the_session_s_zone(spark, make_events, tmp_path):
+    rows = make_events({"id": "1", "time": "2024-01-02 23:30:00"}, {"id": "2", "time": "2024-01-03 00:30:00"}, {"id": "3", "time": "1969-12-31 23:00:00"})
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        files.write_events(rows, str(tmp_path / "ev"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    stored = files.read_events(spark, str(tmp_path / "ev"))
+    assert {r.id: str(r.event_date) for r in stored.collect()} == {"1": "2024-01-02", "2": "2024-01-03", "3": "1969-12-31"}
+
+
+def test_days_of_another_table_prune_partitions(spark, make_events, tmp_path):
+    files.write_events(make_events(*[{"id": str(d), "time": f"2024-01-{d:02d}"} for d in range(1, 21)]), str(tmp_path / "ev"))
+    raw = files.read_events(spark, str(tmp_path / "ev"))
+    days = spark.createDataFrame([(date(2024, 1, 3),), (date(2024, 1, 7),), (date(2025, 1, 1),), (None,)], "d date")
+    days.write.parquet(str(tmp_path / "days"))
+    found = scan.on_days(raw, spark.read.parquet(str(tmp_path / "days")), "d")
+    assert sorted(r.id for r in found.collect()) == ["3", "7"]
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString()
+    leaves = plan.finalPhysicalPlan().collectLeaves()
+    read = [leaves.apply(i).metrics().get("numPartitions").get().value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numPartitions")]
+    assert 2 in read and 20 not in read
+
+
 def test_request_log_is_pruned_by_month(spark, tmp_path):
     log = spark.createDataFrame(
         [("o", "r", "main", "/p", "https://h.com/", "/p", "text/html; charset=utf-8", "200", str(1706000000000000 + i), m)
@@ -244,6 +269,12 @@ def test_csv_text(spark, tmp_path):
     export.write_csv(rows, str(tmp_path / "csv"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("part-*")))
     assert text == 'string,bool,num\n"string",TRUE,1\n"str,ong",FALSE,-0.1\n"str""ong",FALSE,-0.1\n'
+    # evaluated once
+    runs = spark.sparkContext.accumulator(0)
+    counted = rows.repartition(2).mapInArrow(lambda batches: (runs.add(b.num_rows) or b for b in batches), rows.schema)
+    export.write_csv(counted, str(tmp_path / "once"))
+    names = sorted(p.name for p in (tmp_path / "once").glob("part-*"))
+    assert runs.value == 3 and (tmp_path / "once" / names[0]).read_text() == "string,bool,num\n"
     export.write_csv(rows.limit(0), str(tmp_path / "empty"))
     assert "".join(p.read_text() for p in (tmp_path / "empty").glob("part-*")) == ""
 
