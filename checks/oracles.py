@@ -208,6 +208,7 @@ add("p75_exact", """SELECT l_returnflag, l_linestatus, round(quantile_disc(l_ext
   FROM lineitem GROUP BY ALL""")
 add("p75_sketch", "SELECT hostname, " + ", ".join(f"round(quantile_disc({v}, 0.75), 6) AS {v}" for v in VITALS)
     + " FROM pv GROUP BY hostname")
+add("sketched_vitals", "SELECT hostname, count(*) AS n, TRUE AS quantile_holds, TRUE AS count_holds FROM ev WHERE lcp IS NOT NULL GROUP BY hostname")
 add("top_value_count", """SELECT url, arg_max(source, row(n, source)) AS top_source FROM
   (SELECT url, source, count(*) AS n FROM ev WHERE source IS NOT NULL GROUP BY ALL) GROUP BY url""")
 add("top_value_sum", """SELECT url, arg_max(source, row(n, source)) AS top_source FROM
@@ -656,6 +657,9 @@ add("add_audit_scores", """SELECT 'Lighthouse Data Successfully Uploaded' AS sta
 
 ORACLES["sql_key_privileges"] = ORACLES["key_privileges"]
 
+ORACLES["bundles_page2_by_position"] = ORACLES["bundles_page2"]
+ORACLES["content_requests_page2_by_position"] = ORACLES["content_requests_page2"]
+
 # ---- results
 
 add("nested_rows", """SELECT page_id, page_id % 2 = 0 AS is_admin,

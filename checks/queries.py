@@ -12,7 +12,7 @@ from checks import views
 from pagetally.functions import filters, metrics, sql
 from pagetally.functions import fixed_values as fixed
 from pagetally.functions.timeframe import as_instant, instant_text, time_range, truncate
-from pagetally.operators import access, ordering, percentile, popularity, scan, slots
+from pagetally.operators import access, ordering, percentile, popularity, scan, sketches, slots
 from pagetally.operators.intervals import interval_join
 from pagetally.operators.materialise import materialise
 from pagetally.params import ReportParams
@@ -373,6 +373,24 @@ def p75_sketch(spark, sf_dir):
     return pv.groupBy("hostname").agg(*[metrics.p75(F.col(v)).alias(v) for v in dash.VITALS])
 
 
+@query
+def sketched_vitals(spark, sf_dir):
+    """Whether the sketched 75th percentile of each host lies within its rank error, and the number of urls within its own."""
+    ev = events(spark, sf_dir).filter("lcp is not null")
+    made = sketches.sketches(ev, ["hostname"], ["lcp"], ["url"]).select(
+        "hostname", sketches.sketched_quantile("lcp", 0.75).alias("q"), sketches.sketched_count("url").alias("urls")
+    )
+    judged = ev.join(made, "hostname").groupBy("hostname", "urls").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("lcp") < F.col("q")).alias("below"), F.count_if(F.col("lcp") <= F.col("q")).alias("upto"),
+        F.count_distinct("url").alias("exact_urls"),
+    )
+    slack = F.col("n") * 1.7 / sketches.K + 1
+    return judged.select(
+        "hostname", "n", ((F.col("below") - slack <= 0.75 * F.col("n")) & (F.col("upto") + slack >= 0.75 * F.col("n"))).alias("quantile_holds"),
+        (F.abs(F.col("urls") - F.col("exact_urls")) <= 0.05 * F.col("exact_urls") + 1).alias("count_holds"),
+    )
+
+
 @query
 def top_value_count(spark, sf_dir):
     return popularity.top_value_by_count(events(spark, sf_dir), ["url"], "source", "top_source")
@@ -616,6 +634,14 @@ def bundles_page2(spark, sf_dir):
     return journeys.bundles(rum, p, after=first.orderBy(F.col("rownum").desc()).first()["id"], heads=heads)
 
 
+@query
+def bundles_page2_by_position(spark, sf_dir):
+    """The same page from heads with a positional index."""
+    rum, p = views.rum(spark, sf_dir), P.replace(startdate="2024-01-05", limit=20)
+    heads = journeys.bundle_pages(journeys.bundle_heads(rum, p), views.scratch(spark))
+    return journeys.bundles(rum, p, after=heads.at(1, p.limit).orderBy(F.col("rownum").desc()).first()["id"], heads=heads)
+
+
 @query
 def content_requests_month(spark, sf_dir):
     return content.content_requests(views.rum(spark, sf_dir), DATES)
@@ -634,6 +660,14 @@ def content_requests_page2(spark, sf_dir):
     return content.content_requests(rum, DATES.replace(limit=1), after=first, table=table)
 
 
+@query
+def content_requests_page2_by_position(spark, sf_dir):
+    rum = views.rum(spark, sf_dir)
+    table = content.request_pages(content.request_table(rum, DATES), views.scratch(spark))
+    first = content.content_requests(rum, DATES.replace(limit=1), table=table).first()["id"]
+    return content.content_requests(rum, DATES.replace(limit=1), after=first, table=table)
+
+
 @query
 def forms(spark, sf_dir):
     return journeys.forms(views.rum(spark, sf_dir), P)

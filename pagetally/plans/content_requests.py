@@ -11,6 +11,7 @@ from pagetally.functions import filters, metrics
 from pagetally.functions import fixed_values as fixed
 from pagetally.functions.timeframe import iso_text
 from pagetally.operators.ordering import page_after
+from pagetally.operators.paging import Pages, write_pages
 from pagetally.operators.popularity import top_value_by_count
 from pagetally.operators.scan import events
 from pagetally.params import ReportParams
@@ -97,6 +98,11 @@ def request_table(
     )
 
 
+def request_pages(table: DataFrame, path: str) -> Pages:
+    """A ``request_table`` written once to be paged through by position."""
+    return write_pages(table, path, "hostname", "start", "id")
+
+
 def content_requests(
     raw: DataFrame,
     p: ReportParams,
@@ -104,10 +110,13 @@ def content_requests(
     granularity: int = 30,
     after: str = "-",
     more_sources: tuple[str, ...] = (),
-    table: DataFrame | None = None,
+    table: DataFrame | Pages | None = None,
 ) -> DataFrame:
-    """One page in order of host and time, from a written ``request_table`` or a computed one."""
-    rows = request_table(raw, p, keys, granularity, more_sources) if table is None else table
+    """One page in order of host and time, from a written ``request_table``, its ``request_pages``, or a computed one."""
     cursor = None if after == "-" else after
-    page = page_after(rows, ["hostname", "start", "id"], cursor, p.limit, stored=table is not None)
+    if isinstance(table, Pages):
+        page = table.after(cursor, p.limit)
+    else:
+        rows = request_table(raw, p, keys, granularity, more_sources) if table is None else table
+        page = page_after(rows, ["hostname", "start", "id"], cursor, p.limit, stored=table is not None)
     return page.orderBy("rownum").withColumn("time", iso_text(F.col("start"))).drop("start", "rownum")

@@ -8,6 +8,7 @@ from pagetally.functions import metrics
 from pagetally.functions.timeframe import iso_text
 from pagetally.operators.materialise import materialise
 from pagetally.operators.ordering import page_after, running, top
+from pagetally.operators.paging import Pages, write_pages
 from pagetally.operators.percentile import exact_quantile, quantile_of_each
 from pagetally.operators.popularity import estimate_views
 from pagetally.operators.scan import checkpoints, events
@@ -149,24 +150,32 @@ def bundle_heads(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None)
     )
 
 
+def bundle_pages(heads: DataFrame, path: str) -> Pages:
+    """Bundle heads written once to be paged through by position."""
+    return write_pages(heads, path, "start", "id", "url")
+
+
 def bundles(
     raw: DataFrame,
     p: ReportParams,
     keys: DataFrame | None = None,
     after: str = "unset",
     bundle_events: int = BUNDLE_EVENTS,
-    heads: DataFrame | None = None,
+    heads: DataFrame | Pages | None = None,
 ) -> DataFrame:
     """One page of raw page views of the UTC day ``startdate``, each with its events.
 
-    Pages are cut over the bundle heads (given as a written table, or computed); only the events of
+    Pages are cut over the bundle heads (given as a written table or as ``bundle_pages``, or computed); only the events of
     the page's bundles are then gathered.
     Events are in order of time. A row holds at most ``bundle_events`` of them: events 0, 1, … of a bundle
     are in ``part`` 0, the next as many in part 1, all with the bundle's row number, so no row grows with a busy id.
     """
     cursor = None if after in ("unset", "-") else after
-    table = bundle_heads(raw, p, keys) if heads is None else heads
-    page = materialise(page_after(table, ["start", "id", "url"], cursor, p.limit, stored=heads is not None))
+    if isinstance(heads, Pages):
+        page = materialise(heads.after(cursor, p.limit))
+    else:
+        table = bundle_heads(raw, p, keys) if heads is None else heads
+        page = materialise(page_after(table, ["start", "id", "url"], cursor, p.limit, stored=heads is not None))
     ev = _bundle_events(raw, p, keys)
 
     vital = [("lcp", "cwv-lcp"), ("inp", "cwv-inp"), ("cls", "cwv-cls"), ("ttfb", "cwv-ttfb")]
