@@ -66,6 +66,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.hash(text).alias("key"), text.alias("text"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names behind as many underscores as it takes for none to be a column of docs."""
+    taken, before = {c.lower() for c in docs.columns}, "_"
+    while any(before + n in taken for n in names):
+        before += "_"
+    return [before + n for n in names]
+
+
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all strings and where each begins and ends in them, without a copy."""
     big = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

@@ -311,7 +311,11 @@ def contaminated(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those that hold an item, as `contaminated` finds them; a null text stays."""
+    """The rows of docs, all columns, without those that hold an item, as `contaminated` finds them.
+
+    A null or empty text stays, ids may be null or repeated, rows of one id are judged each by its own text, other columns
+    of any name are passed on. An empty table gives no row, an empty benchmark takes none away.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     place = docs.columns.index(text_col)

@@ -229,7 +229,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """The rows of docs, all columns, whose language is known with at least that share; null texts are not among them.
 
-    With `lang_col` a null there becomes the language that was found; what is stated stays.
+    With `lang_col` a null there becomes the language that was found; what is stated stays. Ids are not looked at, repeated
+    rows are judged alike, other columns of any name are passed on. An empty table gives no row.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

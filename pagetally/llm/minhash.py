@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Runs, chunks, forget, groups, mixed, signed, small_batches, texts, word_symbols, words, written
+from .common import LOWER, Runs, chunks, forget, groups, mixed, signed, small_batches, texts, unused, word_symbols, words, written
 from .components import components
 
 #: Minima, low bits kept of each minimum, and how many pairs at the threshold may share no band at most.
@@ -319,9 +319,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without the documents that `near_duplicates` does not keep."""
-    gone = near_duplicates(docs, size, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone_id"), "left_anti")
+    """The rows of docs, all columns, without the documents that `near_duplicates` does not keep.
+
+    Rows without words, with a null text or a null id stay; rows of one id stay or go together, so repeated rows of a kept
+    document stay each. Other columns, of any name, are passed on. An empty table gives no row.
+    """
+    (gone_id,) = unused(docs, "gone_id")
+    gone = near_duplicates(docs, size, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(gone_id), "left_anti")
 
 
 def joined_by_id(result: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, chunks, forget, signed, small_batches, texts, word_symbols, words, written
+from .common import Runs, chunks, forget, signed, small_batches, texts, unused, word_symbols, words, written
 from .winnow import spans
 
 #: Words of a removed passage, and of an anchor.
@@ -193,12 +193,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with the text that `remove_repeats` keeps; documents of which nothing stays are left out."""
-    found = repeats(texts(docs, id_col, text_col), length, gram).select(F.col("doc_id").alias("_found_id"), F.col("key").alias("_found_key"), F.col("passages").alias("_passages"))
+    """The rows of docs, all columns, with the text that `remove_repeats` keeps; documents of which nothing stays are left out.
+
+    Null texts, empty texts and rows with a null id stay as they are, repeated rows stay each, other columns of any name
+    are passed on. An empty table gives no row.
+    """
+    key, found_id, found_key, passages = unused(docs, "key", "found_id", "found_key", "passages")
+    found = repeats(texts(docs, id_col, text_col), length, gram).select(F.col("doc_id").alias(found_id), F.col("key").alias(found_key), F.col("passages").alias(passages))
     place, columns = docs.columns.index(text_col), docs.columns
-    both = docs.withColumn("_key", F.hash(F.coalesce(F.col(text_col), F.lit("")))).join(
-        found.hint("shuffle_hash"), (F.col(id_col) == F.col("_found_id")) & (F.col("_key") == F.col("_found_key")), "left"
-    ).select(*columns, "_passages")
+    both = docs.withColumn(key, F.hash(F.coalesce(F.col(text_col), F.lit("")))).join(
+        found.hint("shuffle_hash"), (F.col(id_col) == F.col(found_id)) & (F.col(key) == F.col(found_key)), "left"
+    ).select(*columns, passages)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()

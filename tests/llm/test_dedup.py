@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -176,3 +177,21 @@ def test_planted_pairs_at_the_threshold_share_a_band(percent):
         equal = (a == b)[:minhash.MINIMA // width * width].reshape(-1, width)
         caught += equal.all(1).any()
     assert caught >= 1999
+
+
+def test_stages_pass_on_columns_of_any_name(spark):
+    """Columns named as those that the stages add, nulls, repeated rows, empty texts and empty tables."""
+    rng = random.Random(21)
+    passage = " ".join(f"p{rng.randrange(900)}" for _ in range(60))
+    texts = [(1, passage + " first"), (2, "before " + passage), (2, "before " + passage), (3, "short"), (3, "short"), (4, None), (4, ""), (None, passage), (None, None), (5, "other words that stand alone here")]
+    rows = [(i, t, f"k{n}", n, f"f{n}", [n], f"g{n}") for n, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _found_id long, _found_key string, _passages array<int>, _Gone_id string").repartition(3)
+    made = repeats.deduplicated(docs)
+    assert made.dtypes == docs.dtypes
+    wanted = [(r[0], "before" if r[0] == 2 else r[1], *r[2:]) for r in rows]
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(wanted, key=str)
+    left = minhash.one_of_each(docs, 3, 80)
+    assert left.dtypes == docs.dtypes
+    assert sorted(map(tuple, left.collect()), key=str) == sorted((r for r in rows if r[0] != 2), key=str)
+    for stage in (repeats.deduplicated, minhash.one_of_each):
+        assert stage(docs.limit(0)).count() == 0
