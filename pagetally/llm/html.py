@@ -2,6 +2,8 @@
 
 First each block is judged alone by stop-word density, length and link density; then blocks too short to tell, and
 blocks near the border, take the label of their nearest decided neighbours.
+On pages without article or main, the innermost element with
+nine tenths of the good text bounds those neighbours: within it only a block judged bad is bad.
 """
 from __future__ import annotations
 
@@ -38,6 +40,8 @@ BLOCKS = frozenset(
     "html body p div section article main header footer nav aside form menu dialog ul ol li dl dt dd table caption thead tbody "
     "tfoot tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset legend hr details summary center".split()
 )
+#: Elements that group blocks: one of them holds the text where no article or main does.
+HOLDERS = frozenset("html body div section article main table td center details".split())
 #: Elements whose links may be what the list or table is about.
 ITEMS = frozenset("li dt dd td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,6 +73,19 @@ ONLY_LINKS = 0.9
 STOPS_HIGH, STOPS_LOW = 0.18, 0.08
 
 
+#: Share of the good unlinked text that the holder of the page's text has at least.
+HELD = 0.9
+
+
+class Holder:
+    """An element that groups blocks, with what good text stands in it."""
+
+    __slots__ = ("parent", "number", "held")
+
+    def __init__(self, parent: Holder | None, number: int):
+        self.parent, self.number, self.held = parent, number, 0
+
+
 @dataclass
 class Block:
     text: str
@@ -78,6 +95,7 @@ class Block:
     outside: bool
     item: bool  # of a list or table
     raised: bool  # in an article or main whose own ancestor is marked
+    holder: Holder
     label: str = ""
 
 
@@ -110,6 +128,8 @@ def blocks(page: str) -> list[Block]:
     what stands inside that element outside, unless the article is marked too, as that of a comment is.
     """
     found: list[Block] = []
+    holder = Holder(None, 0)
+    holders = 1
     open_tags: list[tuple[str, bool, bool, bool, int]] = []  # name, holds page content, holds none, is marked, marks it lifted
     parts: list[str] = []
     linked_parts: list[str] = []
@@ -128,7 +148,7 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
                 linked = len(_SPACE.sub(" ", "".join(linked_parts)).strip())
-                found.append(Block(text, linked, heading, inside > 0, outside > 0 or marks > 0, items > 0, raised > 0))
+                found.append(Block(text, linked, heading, inside > 0, outside > 0 or marks > 0, items > 0, raised > 0, holder))
             parts, linked_parts = [], []
 
     def text_until(end: int) -> None:
@@ -139,12 +159,14 @@ def blocks(page: str) -> list[Block]:
                 linked_parts.append(piece)
 
     def pop_to(i: int) -> None:
-        nonlocal links, inside, outside, marks, raised, items, heading
+        nonlocal links, inside, outside, marks, raised, items, heading, holder
         while len(open_tags) > i:
             name, within, without, marked, lifted = open_tags.pop()
             is_open[name] -= 1
             if stops and stops[-1] == len(open_tags):
                 stops.pop()
+            if name in HOLDERS and holder.parent:
+                holder = holder.parent
             links -= name == "a"
             items -= name in ITEMS
             inside -= within
@@ -200,6 +222,8 @@ def blocks(page: str) -> list[Block]:
         if name in CLOSES_P:
             stops.append(len(open_tags))
         open_tags.append((name, within, without, marked, lifted))
+        if name in HOLDERS:
+            holder, holders = Holder(holder, holders), holders + 1
         links += name == "a"
         items += name in ITEMS
         inside += within
@@ -284,6 +308,45 @@ def _settle(found: list[Block], edge: str, headings: bool) -> None:
             b.label = after[i] if b.heading and headings else before[i] if before[i] == after[i] else edge
 
 
+def _text_holder(found: list[Block]) -> Holder | None:
+    """The innermost element that has HELD of the good unlinked text; None where no block is good."""
+    every: dict[int, Holder] = {}
+    for b in found:
+        here: Holder | None = b.holder
+        while here and here.number not in every:
+            every[here.number] = here
+            here.held = 0
+            here = here.parent
+        if b.label == "good":
+            b.holder.held += _own(b)
+    # an element has a higher number than what it stands in
+    for number in sorted(every, reverse=True):
+        if (parent := every[number].parent) is not None:
+            parent.held += every[number].held
+    good = sum(_own(b) for b in found if b.label == "good")
+    return every[max(n for n in every if every[n].held >= HELD * good)] if good else None
+
+
+def _held(found: list[Block], holder: Holder) -> list[Block]:
+    """The blocks in the holder but for what comes before or after its good ones with a bad one in between."""
+    within: dict[int, bool] = {holder.number: True}
+    mine = []
+    for b in found:
+        here, passed = b.holder, []
+        while here.number not in within and here.parent:
+            passed.append(here.number)
+            here = here.parent
+        held = within.get(here.number, False)
+        for number in passed:
+            within[number] = held
+        if held:
+            mine.append(b)
+    good = [i for i, b in enumerate(mine) if b.label == "good"]
+    first = max((i + 1 for i in range(good[0]) if mine[i].label == "bad"), default=0)
+    last = min((i for i in range(good[-1] + 1, len(mine)) if mine[i].label == "bad"), default=len(mine))
+    return mine[first:last]
+
+
 def decide(found: list[Block]) -> list[Block]:
     """The blocks that are main text. Where article or main hold most of the page's unlinked text, the others' blocks are out.
 
@@ -311,6 +374,9 @@ def decide(found: list[Block]) -> list[Block]:
         if not any(b.label == "good" for b in others):
             for b in others:
                 b.label = "good" if b.label == "near" else b.label
+        if (holder := _text_holder(others)) is not None:
+            # within the element that has the text only blocks judged bad are bad, and its ends count as good
+            _settle([b for b in _held(others, holder) if not b.outside], "good", False)
         _settle(others, "bad", True)
     return [b for b in found if b.label == "good"]
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -244,6 +245,25 @@ def test_text_beside_a_card_stays():
     assert html.main_text("<article>" + content + f"</article><p>{long[0]}</p>").split("\n") == long
 
 
+def test_short_blocks_belong_to_the_element_that_has_the_text():
+    long = "This is the text of the page and it is in the body for all of us to be read as such. " * 3
+    inner = f"<h1>The head</h1><p>Short begin.</p><p>{long}</p><div class=ad>Buy this</div><p>Between.</p><section><p>{long}</p></section><p>The end.</p>"
+    frame = "<div id=top>Slogan of the site</div><ul><li><a href=x>Menu</a></ul>%s<ul><li><a href=x>More</a></ul><div>Owner, 2020</div>"
+    wanted = ["The head", "Short begin.", long.strip(), "Between.", long.strip(), "The end."]
+    for name in ("article", "main", "div", "section", "center", "td"):
+        for page in (f"<{name}>{inner}</{name}>", frame % f"<{name}>{inner}</{name}>", f"<div>{frame % f'<{name}>{inner}</{name}>'}</div>"):
+            assert html.main_text(page).split("\n") == wanted, (name, page[:40])
+    # without an element of its own the text begins and ends at what is bad
+    assert html.main_text(f"<body>{frame % inner}").split("\n") == wanted
+    assert html.main_text("<div>" * 3000 + inner) .split("\n") == wanted
+
+
+def test_pages_read_alike_without_article_and_main(spark):
+    pages = [r["html"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    alike = sum(html.main_text(x) == html.main_text(re.sub(r"(?i)<(/?)(?:article|main)\b", r"<\1div", x)) for x in pages)
+    assert 10 * alike >= 9 * len(pages) > 0
+
+
 def test_languages_without_stop_words():
     menu = "<ul><li><a href=a>Menu</a></li><li><a href=b>Kontakt</a></li></ul>"
     for text in (
@@ -267,7 +287,7 @@ def test_broken_markup_never_fails():
 
 
 def test_broken_markup_takes_time_in_proportion():
-    for page in ("<b>" * 60_000 + "</i>" * 60_000, "<p><div>" + "<b>" * 60_000 + "<hr>" * 60_000, "<svg>" * 60_000, "<p>" + "<b>" * 60_000 + "<div></div>" * 60_000):
+    for page in ("<b>" * 60_000 + "</i>" * 60_000, "<p><div>" + "<b>" * 60_000 + "<hr>" * 60_000, "<svg>" * 60_000, "<p>" + "<b>" * 60_000 + "<div></div>" * 60_000, f"<div>{'The text of it is in the page. ' * 8}" * 20_000):
         began = time.perf_counter()
         html.main_text(page)
         assert time.perf_counter() - began < 5, page[:20]
