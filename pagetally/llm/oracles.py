@@ -37,16 +37,16 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least m ON m
 
 SHARDS = f"""
 WITH sized AS (
-    SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+    SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, hex(encode(coalesce(text, ''))) AS h, md5(coalesce(text, '')) AS digest FROM documents
 ),
 checked AS (
-    SELECT doc_id, size, xor(list_reduce(
+    SELECT doc_id, size, digest, xor(list_reduce(
         [4294967295::BIGINT] || list_transform(range(1, 2 * size - 2, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT),
         lambda c, b: xor(c >> 8, list_extract({[_remainder(b) for b in range(256)]}, ((xor(c, b) & 255) + 1)::BIGINT)::BIGINT)
     ), 4294967295::BIGINT) AS text_crc32 FROM sized
 ),
 placed AS (
-    SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM checked
+    SELECT *, sum(size) OVER (ORDER BY digest, doc_id ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM checked
 ),
 dealt AS (SELECT *, least(15, (2 * start + size) * 16 // (2 * total))::INTEGER AS shard FROM placed)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, NULL::INTEGER AS grown_shard FROM dealt

@@ -46,7 +46,7 @@ def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.shards(table(spark, sf_dir, "documents"))
+    return shards.shards(table(spark, sf_dir, "documents"), together=True)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,22 @@ def test_shards(make_docs, corpus):
     assert ids == sorted(ids) and {r["law"] for r in got} == {"bytes"} and all(r["grown_shard"] is None for r in got)
 
 
+def test_shards_keep_copies_together(make_docs, corpus):
+    rows = corpus + [(2000 + i, "a hot text of which a third of all rows are copies") for i in range(60)]
+    for n_shards in (1, 4, 7):
+        got = shards.shards(make_docs(rows), n_shards, together=True).collect()
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+        total, most = sum(r["size"] for r in got), max(r["size"] for r in got)
+        for k in range(n_shards):
+            own = [r for r in got if r["shard"] == k]
+            assert sorted(r["slot"] for r in own) == list(range(len(own)))
+            assert abs(sum(r["size"] for r in own) - total / n_shards) <= most
+        ordered = [(r["size"], r["text_crc32"]) for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+        changes = 1 + sum(a != b for a, b in zip(ordered, ordered[1:]))
+        assert changes == len(set(ordered))
+    assert shards.shards(make_docs([]), together=True).count() == 0
+
+
 def test_fingerprints(make_docs, corpus):
     docs = make_docs(corpus)
     got = merkle.edited_likeness(docs).collect()
