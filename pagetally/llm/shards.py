@@ -26,10 +26,10 @@ def shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("place"),
+        *([F.md5(text.cast("binary")).alias("digest")] if together else []),
     )
     order = [F.col(c) for c in ("doc_id", "text_crc32", "size", "place")]
     if together:
-        rows = rows.withColumn("digest", F.md5(text.cast("binary")))
         order = [F.col("digest"), *order]
     placed = with_positions(dealt_in_order(rows, order, "shard-order"), order, F.col("size"))
     # in whole numbers: the doubled middle of the document against the doubled total
