@@ -2,8 +2,9 @@
 
 Documents of equal shingle sets are one class from the start. Within a band's bucket each document is first compared to
 one pivot, the document that shares the most buckets, which joins most of a group of near copies to it. Only where a
-bucket still holds several components are its documents compared among each other, in blocks within a task; blocks that
-lie within one component are not. So no list of all pairs is made, and no link between different components is missed.
+bucket still holds several components are its documents compared among each other, in blocks within a task; blocks that lie
+within one component are not, nor blocks of sizes too far apart for a link. So no list of all pairs is made, and no link
+between different components is missed. A bucket with more than its share of all rows is dealt in parts.
 """
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, Runs, chunks, forget, groups, mixed, signed, small_batches, texts, unused, word_symbols, words, written
@@ -24,6 +25,8 @@ MINIMA, LOW, MISSED = 64, 4, 1e-5
 MARGIN = 0.23
 #: Documents, and shingles, of a block.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 19
+#: A bucket with more than this part of all rows of all bands is dealt in parts; there are fewer such buckets than this.
+HOT_SHARE = 1024
 
 _SEEDS = mixed(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
@@ -232,18 +235,21 @@ def near_links(reps: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     least = percent / 100 - MARGIN
     banded = reps.select("doc_id", "key", "n", "signature", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
-    # written before it is joined, as the pivots below: Spark can then split a hot bucket among tasks
-    shared = written(shared, "shared")
-    met = written(banded.join(shared, ["band", "bucket"]), "buckets")
+    even = max(1, reps.count() * (MINIMA // band_width(percent)) // HOT_SHARE)
+    shared = written(shared.withColumn("parts", F.ceil(F.col("members") / even).cast("int")), "shared")
+    # fewer than HOT_SHARE rows
+    hot = F.broadcast(shared.filter("parts > 1").select("band", "bucket", F.col("parts").alias("dealt")))
+    banded = banded.join(hot, ["band", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.coalesce("dealt", F.lit(1))).cast("int")).drop("dealt")
+    met = written(banded.join(in_parts(shared), ["band", "bucket", "part"]), "buckets")
     sets = written(full_sets(rows.join(met.select("doc_id", "key").distinct().hint("shuffle_hash"), ["doc_id", "key"]), size).dropDuplicates(["doc_id", "key"]), "sets")
 
     # the pivot of a bucket meets the most others over all its bands
     fame = met.groupBy("doc_id", "key").agg(F.sum("members").alias("fame"))
     famed = met.join(fame, ["doc_id", "key"])
-    pivots = famed.groupBy("band", "bucket").agg(F.max(F.struct("fame", "doc_id", "key", "n", "signature")).alias("p"))
+    pivots = famed.groupBy("band", "bucket").agg(F.max(F.struct("fame", "doc_id", "key", "n", "signature")).alias("p"), F.first("parts").alias("parts"))
     pivots = written(pivots, "pivots")
     pairs = (
-        met.join(pivots, ["band", "bucket"]).filter("doc_id <> p.doc_id or key <> p.key")
+        met.join(in_parts(pivots).drop("parts"), ["band", "bucket", "part"]).filter("doc_id <> p.doc_id or key <> p.key")
         # sizes alone rule out what differs too much
         .filter(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
         .filter(estimate_column(F.col("signature"), F.col("p.signature")) >= least)
@@ -262,30 +268,40 @@ def near_links(reps: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     # bands whose buckets have the same members say the same
     labelled = met.filter("members > 2").join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     hashes = [F.sum(F.xxhash64(F.lit(i), "doc_id", "key").cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)]
-    several = labelled.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.first("members").alias("members"), *hashes).filter("a <> b")
-    chosen = several.groupBy("members", "h0", "h1").agg(F.min(F.struct("band", "bucket")).alias("c")).select("c.*")
-    chosen = written(chosen, "chosen")
-    labelled = written(labelled.join(chosen, ["band", "bucket"]).select("band", "bucket", "doc_id", "key", "n", "signature", "component"), "open")
-    rest = written(block_links(in_blocks(labelled, sets), percent), "links")
+    several = labelled.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.first("members").alias("members"), F.first("parts").alias("parts"), *hashes).filter("a <> b")
+    chosen = several.groupBy("members", "h0", "h1").agg(F.min(F.struct("band", "bucket", "parts")).alias("c")).select("c.*")
+    chosen = in_parts(written(chosen, "chosen")).drop("parts")
+    labelled = written(labelled.join(chosen, ["band", "bucket", "part"]).select("band", "bucket", "part", "parts", "doc_id", "key", "n", "signature", "component"), "open")
+    rest = written(block_links(in_blocks(labelled, sets, percent), percent), "links")
     return components(links.union(rest)) if not rest.isEmpty() else joined
 
 
-def in_blocks(labelled: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (task, side, doc_id, component, signature, shingles): a task for each two blocks of a bucket that differ in component.
+def in_parts(df: DataFrame) -> DataFrame:
+    """Each row once for each of its `parts`, with its number as `part`."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    A component that fills a block has blocks of its own; the others share blocks. Blocks are paired, not rows.
+
+def in_blocks(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (task, side, doc_id, component, signature, shingles): a task for each two blocks of a bucket that can hold a link.
+
+    A component that fills a block has blocks of its own; the others share blocks. Blocks follow each other by size of the
+    set, cut by the counts of sizes, so that blocks too far apart in size are not paired. Blocks are paired, not rows.
     """
     bucket = ["band", "bucket"]
-    need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    own = labelled.groupBy(*bucket, "component").agg(need.alias("own"))
-    apart = own.filter("own > 1")
-    placed = labelled.join(apart, [*bucket, "component"], "left")
-    shared = placed.filter("own is null").groupBy(*bucket).agg(need.alias("common"))
-    number = F.pmod(F.xxhash64("doc_id", "key"), F.coalesce("own", "common", F.lit(1)))
-    placed = placed.join(shared, bucket, "left").withColumn("block", F.concat_ws("/", F.when(F.col("own").isNotNull(), F.col("component").cast("string")), number.cast("string")))
-    blocks = placed.select(*bucket, "block", F.when(F.col("own").isNotNull(), F.col("component")).alias("whole")).distinct()
-    others = blocks.select(*bucket, F.col("block").alias("other"), F.col("whole").alias("other_whole"))
-    pairs = blocks.join(others, bucket).filter("block <= other and not coalesce(whole = other_whole, false)")
+    labelled = labelled.withColumn("weight", F.greatest(F.lit(1 / BLOCK_ROWS), F.col("n") / BLOCK_SHINGLES))
+    filled = labelled.groupBy(*bucket, "component").agg(F.sum("weight").alias("weight"), F.first("parts").alias("parts")).filter("weight > 1")
+    filled = in_parts(filled).select(*bucket, "component", "part", F.lit(True).alias("filled"))
+    placed = labelled.join(filled, [*bucket, "component", "part"], "left").withColumn("kind", F.when(F.col("filled"), F.concat(F.lit("own "), F.col("component").cast("string"))).otherwise("shared"))
+    before = Window.partitionBy(*bucket, "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*bucket, "kind", "n").agg(F.sum("weight").alias("weight"), F.first("parts").alias("parts"))
+    # read twice: sums of fractions may come out otherwise another time
+    sizes = written(sizes.withColumn("first", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0.0)))).withColumn("cuts", F.ceil("weight").cast("int")).drop("weight"), "sizes")
+    placed = placed.drop("parts").join(in_parts(sizes).drop("parts"), [*bucket, "kind", "n", "part"])
+    placed = placed.withColumn("block", F.concat_ws("/", "kind", "first", F.pmod(F.xxhash64("doc_id", "key"), F.col("cuts"))))
+    blocks = sizes.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).groupBy(*bucket, "kind", F.concat_ws("/", "kind", "first", "cut").alias("block")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    others = blocks.select(*bucket, F.col("block").alias("other"), F.col("kind").alias("other_kind"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    pairs = blocks.join(others, bucket).filter("block <= other and (kind = 'shared' or kind <> other_kind)")
+    pairs = pairs.filter(f"100 * high >= {percent} * other_low and 100 * other_high >= {percent} * low")
     task = F.concat_ws(":", "band", "bucket", "block", "other")
     tasks = pairs.select(*bucket, task.alias("task"), F.explode(F.when(
         F.col("block") == F.col("other"), F.array(F.struct(F.col("block").alias("mine"), F.lit(2).alias("side"))),

@@ -67,6 +67,40 @@ def test_large_group_in_blocks(make_docs, monkeypatch):
     assert got == expected
 
 
+def test_hot_buckets_and_blocks_of_unlike_sizes(make_docs, monkeypatch):
+    """Buckets in parts, and blocks in the order of sizes: links between neighbouring blocks are found, none is lost at the edges."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(minhash, "HOT_SHARE", 4000)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        base = [f"t{j}" for j in range(60 + 2 * (i % 45))]
+        for at in rng.choice(len(base), int(rng.integers(0, 4)), replace=False):
+            base[at] = f"x{rng.integers(4)}"
+        rows.append((i, " ".join(base)))
+    rows += [(200 + i, rows[0][1]) for i in range(30)]
+    for size, percent in ((3, 85), (5, 80)):
+        expected = near_components(rows, size, percent)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make_docs(rows), size, percent).collect()}
+        assert got == expected
+
+
+def test_blocks_too_far_apart_in_size_are_not_paired(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 10)
+    rows = [(0, 7, 0, 1, i, 0, 100 + 10 * (i // 10), [0], i) for i in range(200)]
+    labelled = spark.createDataFrame(rows, "band int, bucket long, part int, parts int, doc_id long, key int, n long, signature array<long>, component long")
+    sets = spark.createDataFrame([(i, 0, [1]) for i in range(200)], "doc_id long, key int, shingles array<long>")
+    dealt = minhash.in_blocks(labelled, sets, 85).select("task", "doc_id").collect()
+    together = defaultdict(set)
+    for r in dealt:
+        together[r["task"]].add(r["doc_id"])
+    pairs = {p for ids in together.values() for p in itertools.combinations(sorted(ids), 2)}
+    size = {r[4]: r[6] for r in rows}
+    can = {(a, b) for a, b in itertools.combinations(range(200), 2) if 100 * size[a] >= 85 * size[b]}
+    assert can <= pairs
+    assert len(pairs) < 0.6 * 200 * 199 / 2
+
+
 def test_estimate_of_packed_minima():
     rng = np.random.default_rng(1)
     union = rng.integers(1, 1 << 62, 1200, dtype=np.uint64)
