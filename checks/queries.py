@@ -109,7 +109,7 @@ def scan_by_key(spark, sf_dir):
 
 @query
 def scan_by_key_of_many_sites(spark, sf_dir):
-    """A secret that opens more sites than become literals: the hosts of the events are joined with them."""
+    """A secret that opens hundreds of sites."""
     keys = views.keys(spark, sf_dir).filter("hostname_prefix <> ''").withColumn("key_bytes", access.key_digest("wide"))
     wanted = ",".join(["www.example.com", "blog.example.com", "shop.example.org"] + [f"c{i}.example.net" for i in range(400)])
     seen = scan.events(views.rum(spark, sf_dir), P.replace(domainkey="wide", url=wanted), keys)

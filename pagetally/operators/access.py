@@ -8,10 +8,6 @@ from pagetally.functions import filters
 from pagetally.functions.timeframe import today
 from pagetally.params import ReportParams
 
-# One secret usually opens a few sites. Up to this many become literal predicates, which reach the
-# file scan; beyond it the prefixes are joined.
-LITERAL_PREFIXES = 64
-
 
 def key_digest(secret: str | Column) -> Column:
     return F.sha2(F.lit(secret) if isinstance(secret, str) else secret, 512)
@@ -48,44 +44,33 @@ def url_host(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, "^https://([^/]+)/", 1), F.lit(""))
 
 
+def host_and_parents(host: Column) -> Column:
+    """A host, the domains above it, and the empty text that a global key has; only that for no host."""
+    labels = F.split(host, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # a host that ends with a dot has the empty text already
+    return F.when(host.isNull(), F.array(F.lit(""))).otherwise(F.array_distinct(F.concat(above, F.array(F.lit("")))))
+
+
+def outermost(prefixes: DataFrame) -> DataFrame:
+    """The prefixes (a column ``_prefix``) that lie below no other one of them, each once."""
+    every = prefixes.distinct()
+    above = F.explode(F.array_remove(host_and_parents(F.col("_prefix")), F.col("_prefix"))).alias("_above")
+    nested = every.select("_prefix", above).join(every.withColumnRenamed("_prefix", "_above"), "_above", "left_semi")
+    return every.join(nested.select("_prefix"), "_prefix", "left_anti")
+
+
 def restrict_to_key(ev: DataFrame, keys: DataFrame, p: ReportParams) -> DataFrame:
-    """Rows whose url lies on a usable key's host or a sub-domain of it.
+    """Rows whose url lies on a usable key's host or a sub-domain of it; all rows for a global key.
 
-    A semi-join: several matching key rows never multiply events.
-    """
-    prefixes = usable_keys(keys, p).select("hostname_prefix").distinct()
-    # the global prefix, being the empty text, sorts first
-    found = [r[0] for r in prefixes.orderBy("hostname_prefix").limit(LITERAL_PREFIXES + 1).collect()]
-    if "" in found:
-        return ev
-    if not found:
-        return ev.filter(F.lit(False))
-    host = url_host(F.col("url"))
-    if len(found) <= LITERAL_PREFIXES:
-        return ev.filter(filters.any_of(*((host == f) | host.endswith("." + f) for f in found)))
-    return _join_prefixes(ev, prefixes)
-
-
-def _join_prefixes(ev: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Many prefixes: an equi-join on the hosts present, not a comparison of every pair.
-
-    The few distinct hosts are expanded to all their parent domains and matched; the events then
-    join the allowed hosts.
+    One plan at any number of sites, and nothing is run to make it: a row's host and the domains above it are looked up
+    among the outermost prefixes, of which at most one holds the row, so rows never multiply. What is asked of prefixes
+    holds for a row's domains as well, and Spark drops the others right after the scan. It broadcasts the prefixes by
+    their size; one join, so that otherwise it can split the rows of a hot host.
     """
-    hosts = ev.select(url_host(F.col("url")).alias("_host")).filter(F.col("_host").isNotNull()).distinct()
-    labels = F.split("_host", r"\.")
-    parents = hosts.select(
-        "_host",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size(labels)),
-                lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-            )
-        ).alias("hostname_prefix"),
-    )
-    allowed = parents.join(prefixes, "hostname_prefix").select("_host").distinct()
-    tagged = ev.withColumn("_host", url_host(F.col("url")))
-    return tagged.join(allowed, "_host", "left_semi").drop("_host")
+    prefixes = outermost(usable_keys(keys, p).select(F.col("hostname_prefix").alias("_prefix")))
+    offered = ev.select("*", F.explode(host_and_parents(url_host(F.col("url")))).alias("_prefix"))
+    return offered.join(prefixes, "_prefix", "left_semi").drop("_prefix")
 
 
 def privileges(keys: DataFrame, secret: str, p: ReportParams) -> DataFrame:

@@ -1,6 +1,7 @@
 """Order, quantiles, shares and access against plain Python, with very uneven data."""
 from __future__ import annotations
 
+import itertools
 import math
 import random
 from datetime import date, datetime
@@ -199,10 +200,73 @@ def test_secret_with_many_sites_gives_the_same_rows(spark, hosts):
     listed = ",".join(["example.com", "www.example.com", "other.org"] + [f"s{n}.net" for n in range(200)])
     rows = [("example.com", "k", None, True)] + [(f"s{n}.net", "k", None, True) for n in range(200)]
     keys = key_rows(spark, *rows)
-    assert access.usable_keys(keys, P.replace(domainkey="k", url=listed)).count() > access.LITERAL_PREFIXES
     assert seen(hosts, keys, "k", listed) == ["i0", "i1"]
 
 
+def test_nested_sites_of_a_key_do_not_multiply_rows(spark, hosts):
+    listed = "example.com,www.example.com,other.org"
+    keys = key_rows(spark, *[(prefix, "k", None, True) for prefix in ("example.com", "www.example.com", "com")])
+    assert seen(hosts, keys, "k", listed) == ["i0", "i1"]
+    every = key_rows(spark, *[(prefix, "k", None, True) for prefix in ("", "example.com", "www.example.com")])
+    assert seen(hosts, every, "k", listed) == ["i0", "i1", "i3", "i4"]
+    assert seen(hosts, every, "k") == ["i0", "i1", "i2", "i3", "i4"]
+
+
+@pytest.mark.parametrize("host, found", [
+    ("a.b.com", ["a.b.com", "b.com", "com", ""]), ("com", ["com", ""]), ("b.com.", ["b.com.", "com.", ""]),
+    ("b.com:80", ["b.com:80", "com:80", ""]), ("", [""]), (None, [""]),
+])
+def test_host_and_parents(spark, host, found):
+    row = spark.createDataFrame([(host,)], "host string").select(access.host_and_parents(F.col("host")))
+    assert row.first()[0] == found
+
+
+def test_outermost_prefixes(spark):
+    given = ["b.com", "a.b.com", "xb.com", "b.com", "y.a.b.com", "net", "x.net", None]
+    rows = spark.createDataFrame([(g,) for g in given], "_prefix string")
+    assert {r[0] for r in access.outermost(rows).collect()} - {None} == {"b.com", "xb.com", "net"}
+    rows = spark.createDataFrame([("",), ("b.com",)], "_prefix string")
+    assert [r[0] for r in access.outermost(rows).collect()] == [""]
+
+
+def test_many_keys_and_hosts_against_brute_force(spark, make_events):
+    """Made hosts and prefixes of every depth, each prefix in a key of its own and all in one."""
+    parts = ["a", "b", "ab"]
+    names = [".".join(x) for n in (1, 2, 3) for x in itertools.product(parts, repeat=n)]
+    rows = make_events(*[{"id": f"{n}", "time": "2024-01-10", "url": f"https://{h}/p", "hostname": h} for n, h in enumerate(names)])
+    chosen = random.Random(3).sample(names, 12)
+    keys = key_rows(spark, *[(prefix, secret, None, True) for prefix in chosen for secret in ("all", prefix)])
+    listed = ",".join(names)
+    for secret, prefixes in [("all", chosen), *[(x, [x]) for x in chosen[:3]]]:
+        opened = [f"{n}" for n, h in enumerate(names) if any(h == x or h.endswith("." + x) for x in prefixes)]
+        assert seen(rows, keys, secret, listed) == sorted(opened)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_plan_of_a_key(spark, make_events, tmp_path, monkeypatch, broadcast):
+    """One scan of the events; what the request asks of prefixes is asked of a row's domains before any shuffle."""
+    make_events({"id": "a", "time": "2024-01-10"}).write.parquet(str(tmp_path / "events"))
+    key_rows(spark, ("example.com", "k", None, True)).write.parquet(str(tmp_path / "keys"))
+    ev, keys = spark.read.parquet(str(tmp_path / "events")), spark.read.parquet(str(tmp_path / "keys"))
+    # nothing may be run to make the plan
+    monkeypatch.setattr(type(ev), "collect", None)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        if not broadcast:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = scan.events(ev, P.replace(domainkey="k", url="www.example.com"), keys)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.splitlines()
+    assert sum("FileScan" in x and "user_agent" in x for x in lines) == 1
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    look_up = next(i for i, x in enumerate(lines) if "Generate explode" in x and "url#" in x)
+    assert "Filter" in lines[look_up - 1] and "EndsWith(www.example.com" in lines[look_up - 1]
+    shuffles = [i for i, x in enumerate(lines[:look_up]) if "Exchange hashpartitioning(_prefix" in x]
+    assert len(shuffles) == (0 if broadcast else 1)
+
+
 def test_privileges(spark):
     keys = key_rows(spark, ("", "r", None, True), ("", "rw", None, True), ("", "rw", None, False), ("a.com", "s", None, False))
     found = {s: tuple(access.privileges(keys, s, P).first()) for s in ("r", "rw", "s", "nobody")}
