@@ -11,7 +11,7 @@ from pagetally.operators.ordering import page_after, running, top
 from pagetally.operators.paging import Pages, write_pages
 from pagetally.operators.percentile import exact_quantile, quantile_of_each
 from pagetally.operators.popularity import estimate_views
-from pagetally.operators.scan import checkpoints, events
+from pagetally.operators.scan import by_text_keys, checkpoints, events
 from pagetally.params import ReportParams
 
 
@@ -104,7 +104,17 @@ def forms(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> Dat
     sent = (F.col("checkpoint") == "formsubmit") & (
         source.contains(".form") | source.contains("mktoForm") | source.contains(".marketo")
     )
-    cp = checkpoints(ev.filter(viewed | sent))
+    vitals = ("lcp", "fid", "inp", "cls")
+    # one look at the events: a row for each form event of a page load, and one for all its other events
+    tags = [F.when(viewed | sent, F.col(c)).alias(f"_{c}") for c in ("checkpoint", "source", "target")]
+    tagged = by_text_keys(ev.select("id", "url", "weight", *vitals, *tags), "id", "_checkpoint", "_source", "_target").agg(
+        F.max("weight").alias("pageviews"), F.min("url").alias("url"), F.max("url").alias("_last_url"),
+        *[F.max(v).alias(v) for v in vitals],
+    )
+    tagged = materialise(tagged.drop("_hash"))
+    cp = tagged.filter(F.col("_checkpoint").isNotNull()).select(
+        "id", "url", "pageviews", F.col("_checkpoint").alias("checkpoint"), F.col("_source").alias("source")
+    )
     per_source = estimate_views(cp, ["url", "checkpoint", "source"])
     per_url = per_source.groupBy("url").agg(
         F.sum(F.when(F.col("checkpoint") == "viewblock", F.col("views"))).alias("views"),
@@ -112,9 +122,8 @@ def forms(raw: DataFrame, p: ReportParams, keys: DataFrame | None = None) -> Dat
     )
     best = materialise(top(per_url.filter(F.col("views").isNotNull()), p.limit, "views", "url"))
 
-    vitals = ("lcp", "fid", "inp", "cls")
-    by_id = ev.groupBy("id").agg(
-        F.max("url").alias("url"), F.max("weight").alias("weight"), *[F.max(v).alias(v) for v in vitals]
+    by_id = tagged.groupBy("id").agg(
+        F.max("_last_url").alias("url"), F.max("pageviews").alias("weight"), *[F.max(v).alias(v) for v in vitals]
     )
 
     def whole(vital, value):

@@ -37,9 +37,8 @@ REPORTS = {
     "correlation": lambda raw: statistics.vitals_correlation(raw, P),
     "score": lambda raw: score.experience_score(raw, P),
 }
-# forms: checkpoints of two kinds, and vitals of all events; bundles: heads, then the events of one page;
-# content: requests, and two narrow columns for the usual collector
-TWO_SCANS = {"forms", "bundles", "content"}
+# bundles: heads, then the events of one page; content: requests, and two narrow columns for the usual collector
+TWO_SCANS = {"bundles", "content"}
 
 
 @pytest.mark.parametrize("name", list(REPORTS))
