@@ -44,33 +44,40 @@ def url_host(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, "^https://([^/]+)/", 1), F.lit(""))
 
 
-def host_and_parents(host: Column) -> Column:
-    """A host, the domains above it, and the empty text that a global key has; only that for no host."""
-    labels = F.split(host, r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    # a host that ends with a dot has the empty text already
-    return F.when(host.isNull(), F.array(F.lit(""))).otherwise(F.array_distinct(F.concat(above, F.array(F.lit("")))))
+def host_and_parents(host: Column, depth: int) -> Column:
+    """The empty text, which a global key has, and the domains of up to `depth` labels that a host is or lies below."""
+    # a shorter host is its own domain at every further depth
+    return F.array_distinct(F.array(F.lit(""), *[F.substring_index(host, ".", -labels) for labels in range(1, depth + 1)]))
 
 
-def outermost(prefixes: DataFrame) -> DataFrame:
-    """The prefixes (a column ``_prefix``) that lie below no other one of them, each once."""
-    every = prefixes.distinct()
-    above = F.explode(F.array_remove(host_and_parents(F.col("_prefix")), F.col("_prefix"))).alias("_above")
-    nested = every.select("_prefix", above).join(every.withColumnRenamed("_prefix", "_above"), "_above", "left_semi")
-    return every.join(nested.select("_prefix"), "_prefix", "left_anti")
+def outermost(prefixes: DataFrame, depth: int) -> DataFrame:
+    """The prefixes (a column ``_prefix``) that lie below no other one of up to `depth` labels, each once.
+
+    Their different values are looked at in one row: for few of them, as `usable_keys` lets through.
+    """
+    every = prefixes.agg(F.collect_set("_prefix").alias("_every"))
+
+    def is_outer(prefix: Column) -> Column:
+        return F.size(F.array_intersect(F.array_remove(host_and_parents(prefix, depth), prefix), F.col("_every"))) == 0
+
+    return every.select(F.explode(F.filter("_every", is_outer)).alias("_prefix"))
 
 
 def restrict_to_key(ev: DataFrame, keys: DataFrame, p: ReportParams) -> DataFrame:
     """Rows whose url lies on a usable key's host or a sub-domain of it; all rows for a global key.
 
     One plan at any number of sites, and nothing is run to make it: a row's host and the domains above it are looked up
-    among the outermost prefixes, of which at most one holds the row, so rows never multiply. What is asked of prefixes
-    holds for a row's domains as well, and Spark drops the others right after the scan. It broadcasts the prefixes by
-    their size; one join, so that otherwise it can split the rows of a hot host.
+    among the outermost prefixes, of which at most one holds the row, so rows never multiply. Usable prefixes are parts
+    of the requested url or listed in it: there are no more of them than the request is long, none has more labels than
+    it, and they are broadcast at any size of the key table. What is asked of them is asked of a row's domains as well,
+    right after the scan.
     """
-    prefixes = outermost(usable_keys(keys, p).select(F.col("hostname_prefix").alias("_prefix")))
-    offered = ev.select("*", F.explode(host_and_parents(url_host(F.col("url")))).alias("_prefix"))
-    return offered.join(prefixes, "_prefix", "left_semi").drop("_prefix")
+    depth = max(wanted.count(".") + 1 for wanted in [p.url, *filters.split_list(p.url)])
+    prefixes = outermost(usable_keys(keys, p).select(F.col("hostname_prefix").alias("_prefix")), depth)
+    # a column of its own, so that the url is looked at once
+    hosts = ev.withColumn("_host", url_host(F.col("url")))
+    offered = hosts.select(*ev.columns, F.explode(host_and_parents(F.col("_host"), depth)).alias("_prefix"))
+    return offered.join(F.broadcast(prefixes), "_prefix", "left_semi").drop("_prefix")
 
 
 def privileges(keys: DataFrame, secret: str, p: ReportParams) -> DataFrame:
