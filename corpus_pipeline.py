@@ -17,12 +17,12 @@ from pagetally.llm.common import shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found go, as those without letters; mixtures stay. A null lang becomes the one found.
+    """Documents of which no language has at least half go, as those without letters. A null lang becomes the one found.
 
     Learned on the labelled documents that are not held out.
     """
     model = language.fit(docs.filter(~language.held_out()))
-    return language.identified(docs, model, least=0.0, lang_col="lang")
+    return language.identified(docs, model, lang_col="lang")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
